@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..scratch import keep
 from ..tables import table
+from .mixing import Mix, mix_sources
 from .near_dup import NearDuplicates, document_pairs, duplicate_groups, near_duplicates
+from .packing import container_report, pack_documents
+from .quality import STATS, text_quality, text_statistics
+from .split import split_long
 
 
 def entry_text() -> Column:
@@ -27,11 +31,70 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_groups(_near(spark, d, 0.7)).withColumnRenamed("id", "uri")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups)}
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every distinct long text of an entry."""
+    return split_long(table(spark, d, "context_entries").select("uri", "l2_full_text").dropDuplicates(["uri"]), "uri", "l2_full_text", 6000, 200)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that come out in more than one piece."""
+    cut = split_long(table(spark, d, "context_entries"), "uri", "l2_full_text", 6000, 200)
+    return cut.filter("piece > 0").select("uri").distinct()
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), "doc_id", "text", 2048)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return container_report(keep(p8_pack(spark, d), "packed"), 2048)
+
+
+def _mix(spark: SparkSession, d: str) -> Mix:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).schedule
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_quality(spark, d).filter("is_junk").select("doc_id").distinct()
+
+
+def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "common_words"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    stats = text_statistics(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "common_words"))
+    return stats.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in STATS[1:]])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_quality, p10_statistics)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(CASE WHEN regexp_matches(coalesce(l2_full_text, ''), '\\S') THEN l2_full_text ELSE l0_abstract END), '[\\p{L}\\p{N}]+'))"
 
+_STATS = """
+ WITH cw AS (SELECT lang AS l, list(DISTINCT word) AS listed FROM common_words WHERE word IS NOT NULL GROUP BY lang),
+ d AS (SELECT doc_id, lang, text, regexp_replace(text, '\\s', '', 'g') AS solid, regexp_extract_all(lower(text), '\\p{L}+') AS w,
+   list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents),
+ s AS (SELECT doc_id, lang, CASE WHEN solid <> '' THEN len(w) END AS n_words,
+   CASE WHEN solid <> '' AND len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) END AS mean_word_length,
+   CASE WHEN solid <> '' THEN length(regexp_replace(solid, '[\\p{L}\\p{N}]', '', 'g')) / length(solid) END AS symbol_ratio,
+   CASE WHEN solid <> '' THEN len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…]["''”»)\\]]*$'))) / len(lines) END AS line_end_ratio,
+   CASE WHEN solid <> '' AND len(w) > 0 THEN len(list_filter(w, lambda x: coalesce(list_contains(listed, x), false))) / len(w) END AS common_ratio
+  FROM d LEFT JOIN cw ON cw.l = d.lang)
+"""
+
 ORACLES = {
+    "p2_found": "SELECT DISTINCT uri FROM context_entries WHERE length(l2_full_text) > 6000",
+    "p10_statistics": _STATS + "SELECT doc_id, lang, n_words, round(mean_word_length, 6) AS mean_word_length, round(symbol_ratio, 6) AS symbol_ratio, round(line_end_ratio, 6) AS line_end_ratio, round(common_ratio, 6) AS common_ratio FROM s",
+    "p10_found": _STATS + "SELECT DISTINCT doc_id FROM s WHERE n_words = 0 OR (line_end_ratio < 0.5)::INT + (common_ratio < 0.25)::INT + (symbol_ratio > 0.12)::INT + (mean_word_length < 3 OR mean_word_length > 8)::INT >= 2",
     "p1_found": f"""
  WITH s AS (SELECT DISTINCT uri, {_WORDS} AS w FROM context_entries WHERE uri IS NOT NULL),
  p AS (SELECT a.uri AS x, b.uri AS y, len(a.w) AS m, len(b.w) AS n, len(list_intersect(a.w, b.w)) AS k FROM s a JOIN s b ON a.uri < b.uri AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w))
