@@ -53,7 +53,7 @@ class Mix:
     shares: DataFrame
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, total_tokens: int | None = None, least: float = 0.5, block_tokens: int = 65_536, tokenizer: str = TOKENIZER) -> Mix:
+def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, total_tokens: int | None = None, least: float = 0.5, block_tokens: int = 16_384, tokenizer: str = TOKENIZER) -> Mix:
     """Interleaves the documents of the sources so that each has its target share of the tokens.
 
     ``targets``: source, target_share, max_repeats. The size of the mix is, if

@@ -77,7 +77,8 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, lang_col: str, commo
     extra, tails = [], []
     for s in STATS:
         v, g = F.col(s).cast("double"), F.col(f"{s}_grid")
-        extra.append(F.when(v.isNotNull(), F.greatest(F.lit(0.0), (F.size(F.filter(g, lambda q, v=v: q <= v)) - 1) / 100)).alias(f"{s}_pct"))
+        reached = F.expr(f"size(filter({s}_grid, q -> q <= cast({s} as double)))")
+        extra.append(F.when(v.isNotNull(), F.greatest(F.lit(0.0), (reached - 1) / 100)).alias(f"{s}_pct"))
         extra.append(F.when(g[75] > g[25], (v - g[50]) / ((g[75] - g[25]) / 1.349)).alias(f"{s}_z"))
         tails.append(F.when((v < g[low]) | (v > g[high]), F.lit(s)))
     broken = (
