@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import keep
 from ..tables import table
+from .knn import nearest, similar_pairs
 from .mixing import Mix, mix_sources
 from .near_dup import NearDuplicates, document_pairs, duplicate_groups, near_duplicates
 from .packing import container_report, pack_documents
@@ -42,6 +43,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return cut.filter("piece > 0").select("uri").distinct()
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    entries, bodies = table(spark, d, "context_entries"), table(spark, d, "antibodies")
+    parsed = F.from_json("custom_json", "embedding_vector array<double>")["embedding_vector"]
+    return entries.select(F.lit("context_entries").alias("set"), F.col("uri").alias("key"), parsed.alias("vec")).unionByName(
+        bodies.select(F.lit("antibodies").alias("set"), F.col("id").alias("key"), F.col("pattern_signature").cast("array<double>").alias("vec"))
+    )
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(_vectors(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(p4_neighbours(spark, d), 0.9).withColumnRenamed("set", "vec_table")
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), "doc_id", "text", 2048)
 
@@ -75,7 +92,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in STATS[1:]])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_quality, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_neighbours, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_quality, p10_statistics)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(CASE WHEN regexp_matches(coalesce(l2_full_text, ''), '\\S') THEN l2_full_text ELSE l0_abstract END), '[\\p{L}\\p{N}]+'))"
 
