@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, q_scalars, q_scans
 
-MODULES = [problems]
+MODULES = [problems, q_scans, q_scalars]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
