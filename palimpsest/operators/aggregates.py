@@ -129,4 +129,4 @@ def thrash(df: DataFrame, scope: str, at: list[str], message: str) -> DataFrame:
     """Consecutive commits with the same message, and empty messages, per scope."""
     w = W.partitionBy(scope).orderBy(*at)
     t = df.withColumn("again", F.coalesce(F.lag(message).over(w) == F.col(message), F.lit(False)))
-    return t.groupBy(scope).agg(F.count("*").alias("n"), F.count(F.when("again", 1)).alias("repeats"), F.count(F.when(F.trim(F.coalesce(F.col(message), F.lit(""))) == "", 1)).alias("empty"))
+    return t.groupBy(scope).agg(F.count("*").alias("n"), F.count(F.when(F.col("again"), 1)).alias("repeats"), F.count(F.when(F.trim(F.coalesce(F.col(message), F.lit(""))) == "", 1)).alias("empty"))
