@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import keep
+
 BITS_PER_ID = 16
 PROBES = 4
+SPACE = " \t\n\r\u00a0\u3000"
 
 
 def uuid_key(c: Column) -> Column:
@@ -15,13 +18,20 @@ def uuid_key(c: Column) -> Column:
     Hyphens, braces, an ``urn:uuid:`` prefix, letter case and outer white space
     do not matter. Null, blank and anything that is no UUID give null.
     """
-    bare = F.regexp_replace(F.lower(c), r"^[\s\p{Z}]*(urn:uuid:)?[{(]?|[)}]?[\s\p{Z}]*$", "")
-    digits = F.regexp_replace(bare, "-", "")
+    bare = F.btrim(F.lower(c), F.lit(SPACE))
+    bare = F.btrim(F.when(F.startswith(bare, F.lit("urn:uuid:")), F.substring(bare, 10, 64)).otherwise(bare), F.lit("{}()"))
+    digits = F.translate(bare, "-", "")
     return F.when(digits.rlike("^[0-9a-f]{32}$"), digits)
 
 
-def first_copies(df: DataFrame, id_col: str, key_col: str, at_col: str, bucket: str = "week") -> DataFrame:
-    """Per identifier and time bucket the earliest copy, and the earlier buckets that really hold the identifier.
+def identified(df: DataFrame, id_col: str, key_col: str, at_col: str) -> DataFrame:
+    """Messages with identifier, written once: id, key, at."""
+    m = df.select(F.col(id_col).alias("id"), uuid_key(F.col(key_col)).alias("key"), F.col(at_col).alias("at"))
+    return keep(m.filter(F.col("key").isNotNull()), "messages")
+
+
+def first_copies(m: DataFrame, bucket: str = "week") -> DataFrame:
+    """Of messages (id, key, at): per identifier and time bucket the earliest copy, and the earlier buckets that really hold the identifier.
 
     1. Storage: copies are folded per (bucket, identifier) to the earliest one,
        with map-side combination, so that copies of one identifier never pile up
@@ -35,10 +45,9 @@ def first_copies(df: DataFrame, id_col: str, key_col: str, at_col: str, bucket:
 
     Result: bucket, key, at, id, n_copies, earlier (true where an earlier bucket holds the key).
     """
-    m = df.select(F.col(id_col).alias("id"), uuid_key(F.col(key_col)).alias("key"), F.col(at_col).alias("at")).filter(F.col("key").isNotNull())
     bucket_of = F.coalesce(F.unix_micros(F.date_trunc(bucket, F.col("at").cast("timestamp"))), F.lit(1 << 62)).alias("bucket")
     storage = m.groupBy(bucket_of, "key").agg(F.min(F.struct(F.col("at").isNull().alias("late"), "at", "id")).alias("first"), F.count("*").alias("n_copies")).select("bucket", "key", "first", "n_copies")
-    n = max(1, df.count())
+    n = max(1, m.count())
     words = 1 << max(6, (n * BITS_PER_ID // 64 // 8).bit_length())
     h = F.xxhash64("key")
     mask = F.lit(0).cast("bigint")
@@ -67,9 +76,9 @@ def surplus_copies(df: DataFrame, id_col: str, key_col: str, at_col: str, bucket
     time counts as later than any with time. An id that occurs twice is one
     delivery. An empty table gives no rows; other columns pass untouched.
     """
-    stays = first_copies(df, id_col, key_col, at_col, bucket).filter(~F.col("earlier")).select("id")
-    m = df.filter(uuid_key(F.col(key_col)).isNotNull()).select(F.col(id_col).alias("id"))
-    return m.join(stays, "id", "left_anti").select(F.col("id").alias(id_col)).distinct()
+    m = identified(df, id_col, key_col, at_col)
+    stays = first_copies(m, bucket).filter(~F.col("earlier")).select("id")
+    return m.select("id").join(stays, "id", "left_anti").select(F.col("id").alias(id_col)).distinct()
 
 
 def deduplicate(df: DataFrame, id_col: str, key_col: str, at_col: str, bucket: str = "week") -> DataFrame:
