@@ -9,6 +9,7 @@ BEAM = 32
 ALPHA = 1.2
 EXPAND = 4
 BATCH = 512
+SEARCH_ROWS = 512
 
 
 class Graph:
@@ -20,6 +21,7 @@ class Graph:
         n = len(self.v)
         self.links = np.full((n, 2 * degree), -1, np.int32)
         self.used = np.zeros(n, np.int32)
+        self.proposed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         mean = self.v.mean(axis=0)
         self.entry = int(np.argmax(self.v @ mean)) if n else -1
         self._build(np.random.default_rng(seed))
@@ -40,6 +42,7 @@ class Graph:
                 near = np.argpartition(own, k - 1, axis=1)[:, :k]
                 ids = np.concatenate((ids, new[near]), axis=1)
                 dist = np.concatenate((dist, np.take_along_axis(own, near, axis=1)), axis=1)
+            self.proposed.append((new, ids, dist))
             chosen = self._prune(new, ids, dist)
             self.links[new, : self.degree] = chosen
             self.used[new] = (chosen >= 0).sum(axis=1)
@@ -75,6 +78,10 @@ class Graph:
         """Arcs back from the chosen neighbours; lists that run over are pruned."""
         r, c = np.nonzero(chosen >= 0)
         to, frm = chosen[r, c], new[r]
+        known = (self.links[to] == frm[:, None]).any(axis=1)
+        to, frm = to[~known], frm[~known]
+        if not len(to):
+            return
         order = np.argsort(to, kind="stable")
         to, frm = to[order], frm[order]
         start = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
@@ -102,10 +109,30 @@ class Graph:
             self.links[heads_, : self.degree] = chosen_
             self.used[heads_] = (chosen_ >= 0).sum(axis=1)
 
+    def own_nearest(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest other vectors of each indexed one, out of what the greedy searches proposed while building, in both directions."""
+        n = len(self.v)
+        out, far = np.full((n, k), -1, np.int32), np.full((n, k), np.inf, np.float32)
+        if not self.proposed:
+            return out, far
+        a = np.concatenate([np.repeat(p, ids.shape[1]) for p, ids, _ in self.proposed])
+        b = np.concatenate([ids.ravel() for _, ids, _ in self.proposed])
+        d = np.concatenate([dist.ravel() for _, _, dist in self.proposed])
+        ok = (b >= 0) & (a != b)
+        a, b, d = np.concatenate((a[ok], b[ok])), np.concatenate((b[ok], a[ok])), np.concatenate((d[ok], d[ok]))
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        a, b, d = a[new], b[new], d[new]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        top = rank < k
+        out[a[top], rank[top]], far[a[top], rank[top]] = b[top], d[top]
+        return out, far
+
     def search(self, queries: np.ndarray, k: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest found for each query: ids (-1: none) and distances, nearest first."""
         beam = max(beam or self.beam, k)
-        outs = [self._search(queries[i : i + BATCH], beam) for i in range(0, len(queries), BATCH)]
+        outs = [self._search(queries[i : i + SEARCH_ROWS], beam) for i in range(0, len(queries), SEARCH_ROWS)]
         ids = np.concatenate([o[0] for o in outs])[:, :k]
         return ids, np.concatenate([o[1] for o in outs])[:, :k]
 
@@ -134,16 +161,14 @@ class Graph:
             seen[w, x] = c
             once = seen[w, x] == c
             r, c, x, w = r[once], c[once], x[once], w[once]
-            d = 2 - 2 * np.einsum("ij,ij->i", self.v[x], q[w])
-            worth = d < dist[w, -1]
-            r, x, d = r[worth], x[worth], d[worth]
             n_new = np.bincount(r, minlength=len(live))
             width = int(n_new.max(initial=0))
             if width:
                 place = np.arange(len(r)) - np.repeat(np.cumsum(n_new) - n_new, n_new)
                 new_i = np.full((len(live), width), -1, np.int32)
-                new_d = np.full((len(live), width), np.inf, np.float32)
-                new_i[r, place], new_d[r, place] = x, d
+                new_i[r, place] = x
+                new_d = 2 - 2 * np.matmul(self.v[np.maximum(new_i, 0)], q[live][:, :, None])[..., 0]
+                new_d[new_i < 0] = np.inf
                 all_d = np.concatenate((dist[live], new_d), axis=1)
                 all_i = np.concatenate((ids[live], new_i), axis=1)
                 all_f = np.concatenate((done[live], new_i < 0), axis=1)

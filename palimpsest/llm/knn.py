@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..scratch import keep
 from .graph_index import BEAM, Graph
 
-SHARD = 32_768
+SHARD = 8_192
 QUERIES = 131_072
 SAMPLE = 4096
 MOST_SHARDS = 4096
@@ -50,25 +51,26 @@ def _centers(sample: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 5, beam: int = BEAM, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int | None = None, beam: int = BEAM, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """The ``k`` most similar other vectors of the same set, by cosine, for every vector.
 
     ``vectors``: set, key, vec (array of numbers). Unusable vectors (null, other length than ``dim``, non-finite, all zero)
-    and null keys take no part; a key counts once, with its smallest vector.
+    and null sets or keys take no part; a key counts once, with its smallest vector.
 
     Equal vectors form a class with one place in the index; of a class, only its
     ``k + 1`` smallest keys can be among anyone's results, so a class of any size is dealt with row by row.
     Classes are laid out in shards of about ``shard`` by nearest centre; centres come from a sample of
     ``SAMPLE`` classes a set, and at most ``MOST_SHARDS``. A shard with over half more than that is cut by
     hash, as are over ``queries`` queries to a shard. In each shard a robust-pruned
-    directed graph is built over all its vectors, and every query is searched by beam in the ``probes``
-    shards whose centres are nearest to it. Similarities of what is found are exact (double
+    directed graph is built over all its vectors; the greedy searches of the building propose the neighbours
+    within the shard, and every vector is searched by beam in the nearest other shards by centre, ``probes`` in all with its
+    own (by default the root of the number of shards, at least 2). Similarities of what is found are exact (double
     precision), and a pair found from one end counts for both ends.
 
     Result: set, key, other, similarity, rank (1 to k; ties by key). Empty input, no rows.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col("set"), F.col("key").cast("string").alias("key"), usable(F.col("vec"), dim).alias("vec")).filter("key is not null and vec is not null")
+    v = vectors.select(F.col("set"), F.col("key").cast("string").alias("key"), usable(F.col("vec"), dim).alias("vec")).filter("`set` is not null and key is not null and vec is not null")
     v = v.groupBy("set", "key").agg(F.min("vec").alias("vec")).withColumn("cls", F.xxhash64("set", "vec"))
     v = keep(v, "vectors")
     # two steps, so that the keys of a large class are never sorted in one task
@@ -95,7 +97,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 5, beam
             for name in set(names):
                 rows = np.flatnonzero(names == name)
                 c = centers[name]
-                near = np.argsort(-(unit[rows] @ c.T), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(-(unit[rows] @ c.T), axis=1, kind="stable")[:, : probes or max(2, math.isqrt(len(c)))]
                 for r, w in zip(rows, near.tolist()):
                     ways[r] = w
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ways, pa.list_(pa.int32()))], ["set", "cls", "vec", "ways"])
@@ -103,13 +105,15 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 5, beam
     kind = vectors.schema["set"].dataType.simpleString()
     routed = keep(classes.mapInArrow(route, f"set {kind}, cls long, vec array<float>, ways array<int>"), "routed")
     size = routed.groupBy("set", F.get("ways", F.lit(0)).alias("cell")).agg(F.count("*").alias("nv"))
-    asked = routed.select("set", F.explode("ways").alias("cell")).groupBy("set", "cell").agg(F.count("*").alias("nq"))
-    cut = size.join(asked, ["set", "cell"]).select("set", "cell", F.ceil(F.col("nv") / (1.5 * shard)).cast("int").alias("subs"), F.ceil(F.col("nq") / queries).cast("int").alias("turns"))
+    others = F.expr("slice(ways, 2, size(ways))")
+    asked = routed.select("set", F.explode(others).alias("cell")).groupBy("set", "cell").agg(F.count("*").alias("nq"))
+    cut = size.join(asked, ["set", "cell"], "left").select("set", "cell", F.ceil(F.col("nv") / (1.5 * shard)).cast("int").alias("subs"), F.greatest(F.lit(1), F.ceil(F.coalesce("nq", F.lit(0)) / queries)).cast("int").alias("turns"))
     h = F.xxhash64("cls", F.lit(1))
     base = routed.select("set", F.get("ways", F.lit(0)).alias("cell"), "cls", "vec").join(F.broadcast(cut), ["set", "cell"])
     base = base.withColumn("sub", F.pmod(h, F.col("subs")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("set", "cell", "sub", "turn", F.lit(True).alias("in_shard"), "cls", "vec")
-    quest = routed.select("set", F.explode("ways").alias("cell"), "cls", "vec").join(F.broadcast(cut), ["set", "cell"])
-    quest = quest.withColumn("turn", F.pmod(h, F.col("turns")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("set", "cell", "sub", "turn", F.lit(False).alias("in_shard"), "cls", "vec")
+    cells = F.transform("ways", lambda c, i: F.struct(c.alias("cell"), (i == 0).alias("own")))
+    quest = routed.select("set", F.explode(cells).alias("w"), "cls", "vec").select("set", "w.*", "cls", "vec").join(F.broadcast(cut), ["set", "cell"]).filter("not own or subs > 1")
+    quest = quest.withColumn("turn", F.pmod(h, F.col("turns")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).filter(~F.col("own") | (F.col("sub") != F.pmod(h, F.col("subs")))).select("set", "cell", "sub", "turn", F.lit(False).alias("in_shard"), "cls", "vec")
 
     def search(group: pa.Table) -> pa.Table:
         inside = group.column("in_shard").to_numpy()
@@ -118,11 +122,13 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 5, beam
         mine, theirs = np.flatnonzero(inside), np.flatnonzero(~inside)
         mine = mine[np.argsort(ids[mine])]
         out: dict = {"a": [], "b": [], "s": []}
-        if len(mine) and len(theirs):
+        if len(mine):
             graph = Graph(unit[mine], beam=beam)
+            found = [(mine, graph.own_nearest(k)[0])] if group.column("turn")[0].as_py() == 0 else []
             for at in range(0, len(theirs), 8192):
                 q = theirs[at : at + 8192]
-                near, _ = graph.search(unit[q], min(2 * k, max(1, len(mine))))
+                found.append((q, graph.search(unit[q], k)[0]))
+            for q, near in found:
                 r, c = np.nonzero(near >= 0)
                 x, y = q[r], mine[near[r, c]]
                 other = ids[x] != ids[y]
