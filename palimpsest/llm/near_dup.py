@@ -187,7 +187,7 @@ def sliced_matches(sketch: np.ndarray, first: np.ndarray, last: np.ndarray, radi
     for at in range(0, m, 4096):
         part = flat[at : at + 4096]
         part = np.pad(part, ((0, -len(part) % 64), (0, 0))).reshape(-1, 64, bits).transpose(2, 0, 1)
-        planes[:, at // 64 : at // 64 + part.shape[1]] = np.packbits(part, axis=2, bitorder="little").view(np.uint64)[..., 0]
+        planes[:, at // 64 : at // 64 + part.shape[1]] = np.ascontiguousarray(np.packbits(part, axis=2, bitorder="little")).view(np.uint64)[..., 0]
     own = np.ascontiguousarray(flat.T)
     del flat
     some = np.flatnonzero(last > first)
