@@ -188,7 +188,7 @@ def pl_layers(s, d):
 
 @query("SELECT uri FROM fx WHERE content_type = 'goal' AND invalidated_by IS NULL ORDER BY quality DESC NULLS LAST, uri LIMIT 20")
 def pl_compile(s, d):
-    from .wql import Find, compile_query
+    from .query import Find, compile_query
 
     return compile_query(Find(content_type="goal", only_current=True, order="quality", limit=20), entries(s, d)).select("uri")
 

@@ -5,7 +5,7 @@ import pandas as pd
 
 from palimpsest.operators.budget import knapsack
 from palimpsest.operators.graph import pagerank, reach
-from palimpsest.plans.wql import Composite, Find, compile_query
+from palimpsest.plans.query import Composite, Find, compile_query
 
 
 def test_knapsack_against_enumeration():
@@ -33,7 +33,7 @@ def test_reach_and_rank(spark):
     assert pagerank(e.limit(0), 3).count() == 0
 
 
-def test_wql(spark):
+def test_query_values(spark):
     rows = [("uwu://t/a", "fact", 0.9, ["x"], None), ("uwu://t/b", "fact", 0.4, ["x", "y"], None), ("uwu://t/c", "goal", None, None, "n"), ("uwu://tt/a", "fact", 0.7, [], None)]
     e = spark.createDataFrame(rows, "uri string, content_type string, quality double, tags array<string>, invalidated_by string")
     ask = lambda q: [r["uri"] for r in compile_query(q, e).collect()]
