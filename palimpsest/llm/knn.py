@@ -51,7 +51,7 @@ def _centers(sample: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int | None = None, beam: int = BEAM, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, least: float | None = None, probes: int | None = None, beam: int = BEAM, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """The ``k`` most similar other vectors of the same set, by cosine, for every vector.
 
     ``vectors``: set, key, vec (array of numbers). Unusable vectors (null, other length than ``dim``, non-finite, all zero)
@@ -65,7 +65,8 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int | None =
     directed graph is built over all its vectors; the greedy searches of the building propose the neighbours
     within the shard, and every vector is searched by beam in the nearest other shards by centre, ``probes`` in all with its
     own (by default the root of the number of shards, at least 2). Similarities of what is found are exact (double
-    precision), and a pair found from one end counts for both ends.
+    precision), and a pair found from one end counts for both ends. ``least`` leaves out neighbours of a smaller
+    similarity as soon as they are found (at most 1); it does not change the rank of the others.
 
     Result: set, key, other, similarity, rank (1 to k; ties by key). Empty input, no rows.
     """
@@ -133,9 +134,12 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int | None =
                 x, y = q[r], mine[near[r, c]]
                 other = ids[x] != ids[y]
                 x, y = x[other], y[other]
+                near_s = np.einsum("ij,ij->i", unit[x], unit[y])
+                if least is not None:
+                    x, y, near_s = x[near_s >= least], y[near_s >= least], near_s[near_s >= least]
                 out["a"].append(ids[x])
                 out["b"].append(ids[y])
-                out["s"].append(np.einsum("ij,ij->i", unit[x], unit[y]))
+                out["s"].append(near_s)
         cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
         n = sum(map(len, out["a"]))
         return pa.table({"set": pa.array([group.column("set")[0].as_py()] * n, group.schema.field("set").type), "a": cat(out["a"], pa.int64()), "b": cat(out["b"], pa.int64()), "s": cat(out["s"], pa.float64())})

@@ -56,7 +56,7 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return similar_pairs(p4_neighbours(spark, d), 0.9).withColumnRenamed("set", "vec_table")
+    return similar_pairs(nearest(_vectors(spark, d), least=0.9), 0.9).withColumnRenamed("set", "vec_table")
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -37,6 +37,7 @@ def test_recall(spark, shard, queries):
     assert recall(got, exp, 5) >= 0.9
     near = {("s", *sorted((a, b))) for a, best in exp.items() for b, s in best if s >= 0.9}
     assert len(near) >= 90 and near == {tuple(x) for x in similar_pairs(n, 0.9).collect()}
+    assert near == {tuple(x) for x in similar_pairs(nearest(df, least=0.9, probes=4, shard=shard, queries=queries), 0.9).collect()}
 
 
 def test_copies_unusable_and_ties(spark):
