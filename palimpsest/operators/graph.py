@@ -5,11 +5,19 @@ Iterations keep one small row per node and write each round to the shared folder
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import keep
+from .components import connected_components
+
+BLOCK_ARCS = 200_000
+MERGE_FRONTS = 16
 
 
 def outgoing(edges: DataFrame, nodes: DataFrame, kind: str | None = None) -> DataFrame:
@@ -28,24 +36,72 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("out").alias("n_out"), F.sum("in").alias("n_in")).withColumn("degree", F.least(F.lit(1.0), (F.col("n_out") + F.col("n_in")) / 16))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[str] | None = None, undirected: bool = False) -> DataFrame:
-    """Nodes within ``hops`` of the seeds, with the distance. No kinds given: all kinds count."""
+def reach(edges: DataFrame, seeds: DataFrame, hops: int | None, kinds: list[str] | None = None, undirected: bool = False, block_arcs: int = BLOCK_ARCS) -> DataFrame:
+    """Nodes within ``hops`` of the seeds, with the distance; None: all that can be reached. No kinds given: all kinds count."""
     e = edges.filter(F.col("kind").isin(*kinds)) if kinds else edges
     arcs = e.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct()
     if undirected:
         arcs = arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    arcs = keep(arcs, "arcs")
     seen = keep(seeds.select("node", F.lit(0).alias("hop")).distinct(), "seen")
+    if hops is None:
+        return _closure(keep(arcs.filter("a is not null and b is not null"), "arcs"), seen, block_arcs)
+    return _rounds(keep(arcs, "arcs"), seen, hops)
+
+
+def _rounds(arcs: DataFrame, seen: DataFrame, hops: int | None) -> DataFrame:
+    """One round per hop over all arcs, until nothing new is found."""
     front = seen
-    for hop in range(1, hops + 1):
+    for hop in count(1) if hops is None else range(1, hops + 1):
         new = arcs.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
         front = keep(new, "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % MERGE_FRONTS == 0:
+            seen = keep(seen, "seen")
     return seen
 
 
+def _walk_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Distances inside one block. Rows: arcs (a to b), and seeds (b null)."""
+    out, hop = defaultdict(list), {}
+    for a, b in zip(rows["a"], rows["b"]):
+        if b is None or b != b:
+            hop[a] = 0
+        else:
+            out[a].append(b)
+    front = list(hop)
+    while front:
+        new = []
+        for x in front:
+            for y in out.get(x, ()):
+                if y not in hop:
+                    hop[y] = hop[x] + 1
+                    new.append(y)
+        front = new
+    return pd.DataFrame({"node": list(hop), "hop": list(hop.values())})
+
+
+def _closure(arcs: DataFrame, seeds: DataFrame, block_arcs: int) -> DataFrame:
+    """All nodes that can be reached. Components are walked whole in blocks; only for one of over ``block_arcs`` arcs rounds are needed."""
+    starts = seeds.join(arcs.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"))
+    large = None
+    if (n := arcs.count()) <= block_arcs:
+        home = arcs.select("a").distinct().withColumn("block", F.lit(0))
+    else:
+        comp = keep(connected_components(arcs), "components")
+        sizes = arcs.join(comp, arcs["a"] == comp["node"]).groupBy("component").agg(F.count("*").alias("n"))
+        of = keep(comp.join(sizes, "component").select(F.col("node").alias("a"), "component", "n"), "homes")
+        home = of.filter(F.col("n") <= block_arcs).select("a", F.pmod(F.xxhash64("component"), F.lit(-(-n // block_arcs))).cast("int").alias("block"))
+        rest = of.filter(F.col("n") > block_arcs).select("a")
+        if not rest.isEmpty():
+            large = _rounds(keep(arcs.join(rest, "a", "left_semi"), "arcs"), keep(starts.join(rest, "a", "left_semi").select(F.col("a").alias("node"), F.lit(0).alias("hop")), "seen"), None)
+    rows = arcs.unionByName(starts.select("a", F.lit(None).cast(arcs.schema["b"].dataType).alias("b"))).join(home, "a")
+    found = rows.groupBy("block").applyInPandas(_walk_block, f"node {arcs.schema['a'].dataType.simpleString()}, hop int").unionByName(seeds)
+    found = found if large is None else found.unionByName(large)
+    return keep(found.groupBy("node").agg(F.min("hop").alias("hop")), "reached")
+
+
 def within(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[str] | None = None) -> DataFrame:
     """Edges that start at a node less than ``hops`` away from a seed."""
     near = reach(edges, seeds, max(0, hops - 1), kinds)
@@ -85,11 +141,11 @@ def associates(edges: DataFrame, seeds: DataFrame, per_seed: int = 2) -> DataFra
     return n.select("from", "to", F.pow(F.lit(0.5), F.col("i") - 1).alias("weight"))
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def ancestors(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     return reach(edges, seeds, hops)
 
 
-def common_ancestor(edges: DataFrame, a: DataFrame, b: DataFrame, hops: int) -> DataFrame:
+def common_ancestor(edges: DataFrame, a: DataFrame, b: DataFrame, hops: int | None = None) -> DataFrame:
     """Nodes above both sides with the least sum of distances."""
     x = reach(edges, a, hops).withColumnRenamed("hop", "hop_a")
     y = reach(edges, b, hops).withColumnRenamed("hop", "hop_b")

@@ -64,7 +64,7 @@ def g_downstream(s, d):
 
 @query(_REACH.format(h=12).replace("JOIN ex ON", "JOIN (SELECT * FROM ex WHERE kind = 'derived_from') ex ON") + " SELECT node, hop FROM m", SEEDS)
 def g_lineage(s, d):
-    return G.reach(edges(s, d), _seeds(s, d), 12, ["derived_from"])
+    return G.reach(edges(s, d), _seeds(s, d), None, ["derived_from"])
 
 
 query.queries["v_log"], query.oracles["v_log"] = g_lineage, query.oracles["g_lineage"]
@@ -265,7 +265,7 @@ _ANC = f"{EX}, {CX}, h AS (SELECT arg_max(id, (committed_at, id)) AS id FROM cx
 
 
 def _reached(s, d):
-    return G.reach(edges(s, d), V.heads(commits(s, d)).select(F.col("head").alias("node")), 25)
+    return G.reach(edges(s, d), V.heads(commits(s, d)).select(F.col("head").alias("node")), None)
 
 
 @query("+ q AS (SELECT id FROM cx ORDER BY committed_at DESC, id DESC LIMIT 100) SELECT id FROM cx WHERE committed_at < TIMESTAMP '2024-10-01' AND id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM q)", _ANC)
@@ -289,7 +289,7 @@ def v_mergebase(s, d):
     e = edges(s, d)
     m = e.join(F.broadcast(e.filter("kind = 'merges'").agg(F.min("from").alias("from"))), "from")
     side = lambda k: m.filter(F.col("kind") == k).select(F.col("to").alias("node"))
-    return G.common_ancestor(e, side("derived_from"), side("merges"), 25)
+    return G.common_ancestor(e, side("derived_from"), side("merges"))
 
 
 @query("SELECT dx.uri, dx.commit_id, cx.committed_at FROM dx JOIN cx ON cx.id = dx.commit_id WHERE dx.op = 'update'", f"{DX}, {CX}")
