@@ -23,6 +23,7 @@ from .components import connected_components
 
 BLOCK_LINKS = 200_000
 MAX_ROUNDS = 1000
+RING = ""
 
 
 def _blocks(links: DataFrame, block_links: int) -> DataFrame:
@@ -221,7 +222,7 @@ _DOWN = "block string, what string, node string, parent string, parent_block str
 
 
 def _assign_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Paths inside a block, in reverse peel order. ``node``: has a parent or none; ``given``: path of a parent outside; ``out``: child in another block."""
+    """Paths inside a block, in reverse peel order; a null goes before one that hangs on a circle. ``node``: has a parent or none; ``given``: path of a parent outside; ``out``: child in another block."""
     block = rows["block"].iloc[0]
     given = rows[rows["what"] == "given"]
     paths = {n: list(p) for n, p in zip(given["node"], given["path"])}
@@ -235,6 +236,8 @@ def _assign_block(rows: pd.DataFrame) -> pd.DataFrame:
     for n, parent, home, size, rank in zip(nodes["node"], nodes["parent"], nodes["parent_block"], nodes["size"], nodes["rank"]):
         if parent is None or parent != parent:
             path = [n]
+        elif home == RING:
+            path = [None, n]
         elif home == block and parent in here:
             path = [*here[parent], n]
         elif home != block and n in paths:
@@ -255,7 +258,8 @@ def hierarchy(df: DataFrame, child: str, parent: str, ordinal: str | None = None
     every node then takes its parent's path. Result: node, parent, root, depth
     (0 at a root), path (root first), n_descendants, state: ``tree``, ``circle``
     (on a circle of first parents) or ``below_circle``. The latter two have no
-    root, depth or path; n_descendants of a circle's nodes is null. An id that only occurs as parent is a node. The first parent is
+    root or depth; paths below a circle start at the first node outside it, and a
+    circle's nodes have neither path nor n_descendants. An id that only occurs as parent is a node. The first parent is
     the one with the smallest ordinal, then the smallest id. Null ends are no
     links; a child with null parents only is a root. Repeated rows count once.
     """
@@ -270,7 +274,8 @@ def hierarchy(df: DataFrame, child: str, parent: str, ordinal: str | None = None
     peeled = keep(peeled, "peeled")
     up = arcs.select(F.col("src").alias("node"), F.col("dst").alias("parent"), F.col("dst_block").alias("parent_block"))
     null = F.lit(None).cast("string")
-    state = peeled.join(up, "node", "left").select("block", F.lit("node").alias("what"), "node", "parent", "parent_block", null.alias("dst_block"), F.lit(None).cast("array<string>").alias("path"), "size", (F.col("round") * (1 << 40) + F.col("seq")).alias("rank"))
+    held = up.join(stuck.select(F.col("node").alias("parent"), F.lit(RING).alias("ring")), "parent", "left").select("node", "parent", F.coalesce("ring", "parent_block").alias("parent_block"))
+    state = peeled.join(held, "node", "left").select("block", F.lit("node").alias("what"), "node", "parent", "parent_block", null.alias("dst_block"), F.lit(None).cast("array<string>").alias("path"), "size", (F.col("round") * (1 << 40) + F.col("seq")).alias("rank"))
     outs = arcs.filter("src_block <> dst_block").select(F.col("dst_block").alias("block"), F.lit("out").alias("what"), F.col("src").alias("node"), F.col("dst").alias("parent"), null.alias("parent_block"), F.col("src_block").alias("dst_block"), F.lit(None).cast("array<string>").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("rank"))
     active, waiting, done = state.unionByName(outs), None, None
     for _ in range(MAX_ROUNDS):
@@ -286,16 +291,16 @@ def hierarchy(df: DataFrame, child: str, parent: str, ordinal: str | None = None
         given = sent.select(F.col("dst_block").alias("block"), F.lit("given").alias("what"), "node", "parent", "parent_block", null.alias("dst_block"), "path", "size", "rank")
         waiting = left.join(woken, "block", "left_anti")
         active = left.join(woken, "block", "left_semi").unionByName(given).unionByName(outs.join(woken, "block", "left_semi"))
-    of_tree = done.select("node", "parent", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), F.lit("tree").alias("state"))
-    none = [null.alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path")]
+    of_tree = done.filter(F.get("path", F.lit(0)).isNotNull()).select("node", "parent", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), F.lit("tree").alias("state"))
+    none = [null.alias("root"), F.lit(None).cast("int").alias("depth")]
     above = up.select("node", "parent")
-    below = left.select("node", "parent", *none, (F.col("size") - 1).alias("n_descendants"), F.lit("below_circle").alias("state"))
-    rings = stuck.join(above, "node", "left").select("node", "parent", *none, F.lit(None).cast("bigint").alias("n_descendants"), F.lit("circle").alias("state"))
+    below = done.filter(F.get("path", F.lit(0)).isNull()).select("node", "parent", *none, F.slice("path", F.lit(2), F.size("path") - 1).alias("path"), (F.col("size") - 1).alias("n_descendants"), F.lit("below_circle").alias("state"))
+    rings = stuck.join(above, "node", "left").select("node", "parent", *none, F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("bigint").alias("n_descendants"), F.lit("circle").alias("state"))
     singles = alone.select("node", null.alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(0).cast("bigint").alias("n_descendants"), F.lit("tree").alias("state"))
     return of_tree.unionByName(below).unionByName(rings).unionByName(singles)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """One row per node of a tree and descendant: ancestor, descendant, distance. ``tree``: result of ``hierarchy``."""
-    p = tree.filter("state = 'tree'").select("node", "depth", F.posexplode("path").alias("at", "ancestor"))
+    """One row per node, circles' nodes excepted, and descendant: ancestor, descendant, distance. ``tree``: result of ``hierarchy``."""
+    p = tree.filter("path is not null").select("node", (F.size("path") - 1).alias("depth"), F.posexplode("path").alias("at", "ancestor"))
     return p.filter("at < depth").select("ancestor", F.col("node").alias("descendant"), (F.col("depth") - F.col("at")).alias("distance"))

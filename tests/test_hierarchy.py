@@ -82,6 +82,16 @@ def test_descendants(spark):
     assert {tuple(r) for r in descendants(h).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+@pytest.mark.parametrize("block", [1_000_000, 2])
+def test_descendants_below_a_circle(spark, block):
+    links = [("c1", "c2", 0), ("c2", "c1", 0), ("d", "c1", 0), ("e", "d", 0), ("f", "e", 0), ("g", "d", 0), ("b", "a", 0)]
+    h = hierarchy(frame(spark, links), "child", "parent", "ordinal", "seen", block)
+    assert {tuple(r) for r in descendants(h).collect()} == {("d", "e", 1), ("d", "f", 2), ("d", "g", 1), ("e", "f", 1), ("a", "b", 1)}
+    rows = {r["node"]: r for r in h.collect()}
+    assert {n: (r["state"], r["parent"], r["n_descendants"]) for n, r in rows.items() if n in "defg"} == {"d": ("below_circle", "c1", 3), "e": ("below_circle", "d", 1), "f": ("below_circle", "e", 0), "g": ("below_circle", "d", 0)}
+    assert rows["d"]["depth"] is None and rows["c1"]["path"] is None and rows["f"]["path"] == ["d", "e", "f"]
+
+
 def test_empty(spark):
     assert hierarchy(frame(spark, []), "child", "parent").count() == 0
     assert circles(frame(spark, []), "child", "parent").count() == 0
