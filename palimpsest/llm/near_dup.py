@@ -42,10 +42,11 @@ WORDS = r"[\\p{L}\\p{N}]+"
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """members: id, class_id (texts with the same set of words); pairs: a, b, similarity of different classes, a < b."""
+    """members: id, class_id (texts with the same set of words); pairs: a, b, similarity of different classes, a < b; texts: id, class_id, text_id (equal texts)."""
 
     members: DataFrame
     pairs: DataFrame
+    texts: DataFrame
 
 
 def word_set(text: Column) -> Column:
@@ -304,7 +305,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     meet in a task of their own. Null, blank and word-less texts belong to no class. Repeated rows of one
     id make one member per distinct text. Texts are read whole.
     """
-    rows = df.select(F.col(id_col).alias("id"), word_set(text).alias("words")).filter(F.col("id").isNotNull() & (F.size("words") > 0)).withColumn("class_id", F.xxhash64("words"))
+    rows = df.select(F.col(id_col).alias("id"), word_set(text).alias("words"), F.xxhash64(text).alias("text_id")).filter(F.col("id").isNotNull() & (F.size("words") > 0)).withColumn("class_id", F.xxhash64("words"))
     rows = keep(rows, "words")
     members = rows.select("id", "class_id").distinct()
     classes = keep(rows.groupBy(F.col("class_id").alias("cid")).agg(F.first("words").alias("words")), "classes")
@@ -315,16 +316,19 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     both = found.join(sets.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     pairs = both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return NearDuplicates(members, keep(pairs, "pairs"))
+    return NearDuplicates(members, keep(pairs, "pairs"), rows.select("id", "class_id", "text_id").distinct())
 
 
 def document_pairs(found: NearDuplicates) -> DataFrame:
-    """Pairs of ids (id_a < id_b), distinct. Classes of up to ``COPIES_IN_FULL`` ids are written out in full; of a larger one, every id is paired with its smallest, and only that one with other classes."""
-    sizes = found.members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("head"))
-    m = found.members.join(sizes, "class_id")
-    heads = m.filter((F.col("n") <= COPIES_IN_FULL) | (F.col("id") == F.col("head"))).select("class_id", "id")
-    few = m.filter(F.col("n").between(2, COPIES_IN_FULL)).select("class_id", "id")
-    inside = few.select("class_id", F.col("id").alias("x")).join(few.select("class_id", F.col("id").alias("y")), "class_id").select("x", "y")
+    """Pairs of ids (id_a < id_b), distinct. Of over ``COPIES_IN_FULL`` ids with the very same text, every one is paired with the smallest, and only that one with other texts; all other pairs are written out, large classes in salted parts."""
+    sizes = found.texts.groupBy("class_id", "text_id").agg(F.count("*").alias("n"), F.min("id").alias("head"))
+    m = found.texts.join(sizes, ["class_id", "text_id"])
+    heads = m.filter((F.col("n") <= COPIES_IN_FULL) | (F.col("id") == F.col("head"))).select("class_id", "id").distinct()
+    parts = heads.groupBy("class_id").agg(F.count("*").alias("k")).filter("k > 1").select("class_id", F.least(F.lit(64), F.ceil(F.col("k") / 1000)).cast("int").alias("parts"))
+    few = heads.join(parts, "class_id")
+    left = few.select("class_id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("x"))
+    right = few.select("class_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("y"))
+    inside = left.join(right, ["class_id", "part"]).select("x", "y")
     star = m.filter((F.col("n") > COPIES_IN_FULL) & (F.col("id") != F.col("head"))).select(F.col("head").alias("x"), F.col("id").alias("y"))
     across = found.pairs.join(heads.select(F.col("class_id").alias("a"), F.col("id").alias("x")), "a").join(heads.select(F.col("class_id").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     every = inside.unionByName(star).unionByName(across).filter("x <> y")

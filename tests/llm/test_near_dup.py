@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -67,6 +68,13 @@ def test_many_copies_make_a_star(spark, monkeypatch):
     assert got == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "z")}
 
 
+def test_different_texts_of_a_class_make_no_star(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "COPIES_IN_FULL", 3)
+    rows = [(f"p{i}", " ".join(w)) for i, w in enumerate(itertools.permutations(["same", "words", "here"]))] + [(f"q{i}", "here words, same") for i in range(4)] + [("z", "same words here too")]
+    ids = [f"p{i}" for i in range(6)] + ["q0", "z"]
+    assert pairs(spark, rows, 0.7) == set(itertools.combinations(ids, 2)) | {("q0", f"q{i}") for i in range(1, 4)}
+
+
 def test_groups(spark):
     rows = [("a", "p q r s"), ("b", "p q r s"), ("c", "p q r s t"), ("d", "p q r s t u"), ("e", "other")]
     df = spark.createDataFrame(rows, "id string, text string")
