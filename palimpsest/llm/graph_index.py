@@ -1,15 +1,21 @@
-"""A robust-pruned directed graph over unit vectors: building by batches, beam search by batches."""
+"""A robust-pruned directed graph over unit vectors: building by batches, beam search by batches.
+
+Vectors that lie near each other are inserted, and searched for, together. The
+queries of a batch share what they expand: each step takes the best open nodes
+of every query, and the distances of all queries to all newly reached nodes are
+one matrix product. A query thus sees at least what it would have seen alone.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-DEGREE = 24
-BEAM = 32
+DEGREE = 16
+BEAM = 24
 ALPHA = 1.2
-EXPAND = 4
-BATCH = 512
-SEARCH_ROWS = 512
+EXPAND = 2
+BATCH = 256
+MATES = 8
 
 
 class Graph:
@@ -21,33 +27,55 @@ class Graph:
         n = len(self.v)
         self.links = np.full((n, 2 * degree), -1, np.int32)
         self.used = np.zeros(n, np.int32)
-        self.proposed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        mean = self.v.mean(axis=0)
-        self.entry = int(np.argmax(self.v @ mean)) if n else -1
-        self._build(np.random.default_rng(seed))
+        self.entry = int(np.argmax(self.v @ self.v.mean(axis=0))) if n else -1
+        self.pivots = self._pivots(np.random.default_rng(seed))
+        self._build()
+
+    def _pivots(self, rng: np.random.Generator) -> np.ndarray:
+        """About one vector a batch, picked at random, near ones next to each other."""
+        n = len(self.v)
+        if not n:
+            return np.zeros(0, np.int64)
+        some = rng.permutation(n)[: max(1, n // BATCH)]
+        coarse = some[: max(1, int(len(some) ** 0.5))]
+        return some[np.argsort(np.argmax(self.v[some] @ self.v[coarse].T, axis=1), kind="stable")]
 
-    def _build(self, rng: np.random.Generator) -> None:
-        order = rng.permutation(len(self.v)).astype(np.int32)
-        order = np.concatenate(([self.entry], order[order != self.entry])).astype(np.int32) if len(order) else order
-        at = 1
-        while at < len(order):
-            # a batch sees what was inserted before it; batches start small
-            new = order[at : at + min(BATCH, max(1, at // 2))]
-            ids, dist = self.search(self.v[new], self.beam)
-            if len(new) > 1:
-                # and each other: the nearest within the batch are proposed as well
-                own = 2 - 2 * (self.v[new] @ self.v[new].T)
-                np.fill_diagonal(own, np.inf)
-                k = min(4, len(new) - 1)
-                near = np.argpartition(own, k - 1, axis=1)[:, :k]
-                ids = np.concatenate((ids, new[near]), axis=1)
-                dist = np.concatenate((dist, np.take_along_axis(own, near, axis=1)), axis=1)
-            self.proposed.append((new, ids, dist))
-            chosen = self._prune(new, ids, dist)
-            self.links[new, : self.degree] = chosen
-            self.used[new] = (chosen >= 0).sum(axis=1)
-            self._back(new, chosen)
+    def _together(self, q: np.ndarray) -> list[np.ndarray]:
+        """The rows of ``q`` in batches of neighbours."""
+        near = np.concatenate([np.argmax(q[i : i + 4096] @ self.v[self.pivots].T, axis=1) for i in range(0, len(q), 4096)] or [np.zeros(0, np.int64)])
+        order = np.argsort(near, kind="stable")
+        return [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+
+    def _build(self) -> None:
+        if not len(self.v):
+            return
+        first = self.pivots[self.pivots != self.entry]
+        later = np.ones(len(self.v), bool)
+        later[first] = later[self.entry] = False
+        at = 0
+        while at < len(first):
+            # what is inserted first spreads over all the vectors; batches start small
+            new = first[at : at + min(BATCH, at + 1)]
+            self._insert(new)
             at += len(new)
+        for new in self._together(self.v):
+            new = new[later[new]]
+            if len(new):
+                self._insert(new)
+
+    def _insert(self, new: np.ndarray) -> None:
+        ids, dist = self._walk(self.v[new], self.beam)
+        if len(new) > 1:
+            own = 2 - 2 * (self.v[new] @ self.v[new].T)
+            np.fill_diagonal(own, np.inf)
+            k = min(MATES, len(new) - 1)
+            near = np.argpartition(own, k - 1, axis=1)[:, :k]
+            ids = np.concatenate((ids, new[near].astype(np.int32)), axis=1)
+            dist = np.concatenate((dist, np.take_along_axis(own, near, axis=1)), axis=1)
+        chosen = self._prune(new, ids, dist)
+        self.links[new, : self.degree] = chosen
+        self.used[new] = (chosen >= 0).sum(axis=1)
+        self._back(new, chosen)
 
     def _prune(self, points: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndarray:
         """Up to ``degree`` of the candidates: the nearest, then each next one that no chosen one covers (alpha x closer to it than the point is)."""
@@ -57,10 +85,7 @@ class Graph:
         ids, dist = np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
         c = self.v[np.maximum(ids, 0)]
         between = np.matmul(c, c.transpose(0, 2, 1))
-        np.multiply(between, -2, out=between)
-        between += 2
-        between *= self.alpha**2
-        covered = between <= dist[:, None, :]
+        covered = between >= (1 - dist / (2 * self.alpha**2))[:, None, :]
         free = np.isfinite(dist)
         out = np.full((len(points), self.degree), -1, np.int32)
         rows = np.arange(len(points))
@@ -77,7 +102,7 @@ class Graph:
     def _back(self, new: np.ndarray, chosen: np.ndarray) -> None:
         """Arcs back from the chosen neighbours; lists that run over are pruned."""
         r, c = np.nonzero(chosen >= 0)
-        to, frm = chosen[r, c], new[r]
+        to, frm = chosen[r, c], new[r].astype(np.int32)
         known = (self.links[to] == frm[:, None]).any(axis=1)
         to, frm = to[~known], frm[~known]
         if not len(to):
@@ -109,73 +134,60 @@ class Graph:
             self.links[heads_, : self.degree] = chosen_
             self.used[heads_] = (chosen_ >= 0).sum(axis=1)
 
-    def own_nearest(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` nearest other vectors of each indexed one, out of what the greedy searches proposed while building, in both directions."""
-        n = len(self.v)
-        out, far = np.full((n, k), -1, np.int32), np.full((n, k), np.inf, np.float32)
-        if not self.proposed:
-            return out, far
-        a = np.concatenate([np.repeat(p, ids.shape[1]) for p, ids, _ in self.proposed])
-        b = np.concatenate([ids.ravel() for _, ids, _ in self.proposed])
-        d = np.concatenate([dist.ravel() for _, _, dist in self.proposed])
-        ok = (b >= 0) & (a != b)
-        a, b, d = np.concatenate((a[ok], b[ok])), np.concatenate((b[ok], a[ok])), np.concatenate((d[ok], d[ok]))
-        order = np.lexsort((b, d, a))
-        a, b, d = a[order], b[order], d[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        a, b, d = a[new], b[new], d[new]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        top = rank < k
-        out[a[top], rank[top]], far[a[top], rank[top]] = b[top], d[top]
-        return out, far
-
     def search(self, queries: np.ndarray, k: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nearest found for each query: ids (-1: none) and distances, nearest first."""
-        beam = max(beam or self.beam, k)
-        outs = [self._search(queries[i : i + SEARCH_ROWS], beam) for i in range(0, len(queries), SEARCH_ROWS)]
-        ids = np.concatenate([o[0] for o in outs])[:, :k]
-        return ids, np.concatenate([o[1] for o in outs])[:, :k]
+        q = np.ascontiguousarray(queries, np.float32)
+        ids, dist = np.full((len(q), k), -1, np.int32), np.full((len(q), k), np.inf, np.float32)
+        if not len(self.v):
+            return ids, dist
+        for rows in self._together(q):
+            i, d = self._walk(q[rows], max(beam or self.beam, k))
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            ids[rows, : order.shape[1]] = np.take_along_axis(i, order, axis=1)
+            dist[rows, : order.shape[1]] = np.take_along_axis(d, order, axis=1)
+        return np.where(np.isfinite(dist), ids, -1), dist
 
-    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        b, n = len(q), len(self.v)
-        rows = np.arange(b)
-        seen = np.full((b, n), -1, np.int16)
-        ids = np.full((b, beam), -1, np.int32)
-        dist = np.full((b, beam), np.inf, np.float32)
-        done = np.ones((b, beam), bool)
-        ids[:, 0] = self.entry
-        dist[:, 0] = 2 - 2 * (q @ self.v[self.entry])
-        done[:, 0] = False
-        seen[:, self.entry] = 0
-        live = rows
-        while len(live):
-            pick = np.argsort(done[live], axis=1, kind="stable")[:, :EXPAND]
-            at = ids[live[:, None], pick]
-            at = np.where(done[live[:, None], pick], -1, at)
-            done[live[:, None], pick] = True
-            near = np.where((at >= 0)[:, :, None], self.links[np.maximum(at, 0)], -1).reshape(len(live), -1)
-            r, c = np.nonzero(near >= 0)
-            x, w = near[r, c], live[r]
-            fresh = seen[w, x] < 0
-            r, c, x, w = r[fresh], c[fresh], x[fresh], w[fresh]
-            seen[w, x] = c
-            once = seen[w, x] == c
-            r, c, x, w = r[once], c[once], x[once], w[once]
-            n_new = np.bincount(r, minlength=len(live))
-            width = int(n_new.max(initial=0))
-            if width:
-                place = np.arange(len(r)) - np.repeat(np.cumsum(n_new) - n_new, n_new)
-                new_i = np.full((len(live), width), -1, np.int32)
-                new_i[r, place] = x
-                new_d = 2 - 2 * np.matmul(self.v[np.maximum(new_i, 0)], q[live][:, :, None])[..., 0]
-                new_d[new_i < 0] = np.inf
-                all_d = np.concatenate((dist[live], new_d), axis=1)
-                all_i = np.concatenate((ids[live], new_i), axis=1)
-                all_f = np.concatenate((done[live], new_i < 0), axis=1)
-                best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
-                best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_d, best, axis=1), axis=1), axis=1)
-                dist[live] = np.take_along_axis(all_d, best, axis=1)
-                ids[live] = np.take_along_axis(all_i, best, axis=1)
-                done[live] = np.take_along_axis(all_f, best, axis=1)
-            live = live[~done[live].all(axis=1)]
-        return ids, dist
+    def _walk(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Beam search of one batch; ids and distances in no order."""
+        n = len(self.v)
+        seen, open_, mark = np.zeros(n, bool), np.ones(n, bool), np.zeros(n, bool)
+        ids, dist = np.zeros((len(q), 0), np.int32), np.zeros((len(q), 0), np.float32)
+        new = np.array([self.entry], np.int32)
+        seen[self.entry] = True
+        while True:
+            if len(new):
+                d = q @ self.v[new].T
+                d *= -2
+                d += 2
+                i = np.broadcast_to(new, d.shape)
+                if dist.shape[1] == beam:
+                    # most of what is seen later is farther than the whole beam
+                    r, c = np.divmod(np.flatnonzero((d < dist.max(axis=1)[:, None]).ravel()), len(new))
+                    n_near = np.bincount(r, minlength=len(q))
+                    place = np.arange(len(r)) - np.repeat(np.cumsum(n_near) - n_near, n_near)
+                    near_d = np.full((len(q), n_near.max()), np.inf, np.float32)
+                    near_i = np.zeros(near_d.shape, np.int32)
+                    near_d[r, place], near_i[r, place] = d[r, c], new[c]
+                    d, i = near_d, near_i
+                dist, ids = np.concatenate((dist, d), axis=1), np.concatenate((ids, i), axis=1)
+                if dist.shape[1] > beam:
+                    best = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
+                    dist, ids = np.take_along_axis(dist, best, axis=1), np.take_along_axis(ids, best, axis=1)
+            todo = np.where(open_[ids], dist, np.inf)
+            if todo.shape[1] > EXPAND:
+                pick = np.argpartition(todo, EXPAND - 1, axis=1)[:, :EXPAND]
+                todo, at = np.take_along_axis(todo, pick, axis=1), np.take_along_axis(ids, pick, axis=1)
+            else:
+                at = ids
+            at = at[np.isfinite(todo)]
+            if not len(at):
+                return ids, dist
+            mark[at] = True
+            at = np.flatnonzero(mark)
+            mark[at] = open_[at] = False
+            near = self.links[at].ravel()
+            near = near[near >= 0]
+            mark[near[~seen[near]]] = True
+            new = np.flatnonzero(mark).astype(np.int32)
+            mark[new] = False
+            seen[new] = True

@@ -56,7 +56,7 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return similar_pairs(nearest(_vectors(spark, d), least=0.9), 0.9).withColumnRenamed("set", "vec_table")
+    return similar_pairs(nearest(_vectors(spark, d)), 0.9).withColumnRenamed("set", "vec_table")
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,17 @@ _STATS = """
   FROM d LEFT JOIN cw ON cw.l = d.lang)
 """
 
+_VECTORS = """
+ WITH v AS (SELECT 'context_entries' AS t, uri AS k, TRY_CAST(TRY_CAST(custom_json AS JSON)->'embedding_vector' AS DOUBLE[]) AS e FROM context_entries
+   UNION ALL SELECT 'antibodies', id, pattern_signature::DOUBLE[] FROM antibodies),
+ f AS (SELECT t, k, min(e) AS e FROM v WHERE k IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY t, k),
+ u AS (SELECT t, k, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM f),
+ p AS (SELECT a.t, a.k AS x, b.k AS y, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.t = b.t AND a.k <> b.k),
+ r AS (SELECT *, row_number() OVER (PARTITION BY t, x ORDER BY s DESC, y) AS i FROM p)
+"""
+
 ORACLES = {
+    "p4_found": _VECTORS + " SELECT DISTINCT t AS vec_table, least(x, y) AS key_a, greatest(x, y) AS key_b FROM r WHERE i <= 5 AND s >= 0.9",
     "p2_found": "SELECT DISTINCT uri FROM context_entries WHERE length(l2_full_text) > 6000",
     "p10_statistics": _STATS + "SELECT doc_id, lang, n_words, round(mean_word_length, 6) AS mean_word_length, round(symbol_ratio, 6) AS symbol_ratio, round(line_end_ratio, 6) AS line_end_ratio, round(common_ratio, 6) AS common_ratio FROM s",
     "p10_found": _STATS + "SELECT DISTINCT doc_id FROM s WHERE n_words = 0 OR (line_end_ratio < 0.5)::INT + (common_ratio < 0.25)::INT + (symbol_ratio > 0.12)::INT + (mean_word_length < 3 OR mean_word_length > 8)::INT >= 2",

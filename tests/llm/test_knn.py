@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm.graph_index import Graph
-from palimpsest.llm.knn import nearest, similar_pairs
+from palimpsest.llm import knn
+from palimpsest.llm.knn import default_probes, nearest, similar_pairs
 
 SCHEMA = "`set` string, `key` string, vec array<double>, rank string"
 
@@ -37,7 +39,28 @@ def test_recall(spark, shard, queries):
     assert recall(got, exp, 5) >= 0.9
     near = {("s", *sorted((a, b))) for a, best in exp.items() for b, s in best if s >= 0.9}
     assert len(near) >= 90 and near == {tuple(x) for x in similar_pairs(n, 0.9).collect()}
-    assert near == {tuple(x) for x in similar_pairs(nearest(df, least=0.9, probes=4, shard=shard, queries=queries), 0.9).collect()}
+
+
+def test_recall_at_default_probes_in_many_shards(spark):
+    r = np.random.default_rng(5)
+    homes = r.normal(size=(60, 64))
+    v = homes[r.integers(0, 60, 5000)] + 0.8 * r.normal(size=(5000, 64))
+    v[4900:] = v[:100] + 0.1 * r.normal(size=(100, 64))
+    keys = [f"k{i:04}" for i in range(len(v))]
+    df = spark.createDataFrame([("s", k, x.tolist(), "clash") for k, x in zip(keys, v)], SCHEMA)
+    assert -(-len(v) // 75) >= 64 and default_probes(67) == 13
+    got = {}
+    for row in nearest(df, shard=75).collect():
+        got.setdefault(row["key"], []).append((row["other"], row["similarity"]))
+    assert recall(got, brute(keys, v.astype(np.float32).astype(float), 5), 5) >= 0.95
+
+
+def test_hashes_that_clash(spark, monkeypatch):
+    rows = [("s", f"k{i}", [float(i + 1), 1.0] + [0.0] * 62, "") for i in range(12)]
+    exp = sorted(map(tuple, nearest(spark.createDataFrame(rows, SCHEMA)).collect()))
+    plain = F.xxhash64
+    monkeypatch.setattr(knn.F, "xxhash64", lambda *c: F.lit(5).cast("long") if [x for x in c if isinstance(x, str)] == ["set", "vec"] and len(c) == 2 else plain(*c))
+    assert sorted(map(tuple, nearest(spark.createDataFrame(rows, SCHEMA)).collect())) == exp
 
 
 def test_copies_unusable_and_ties(spark):
@@ -61,4 +84,5 @@ def test_graph_alone():
     ids, dist = g.search(v, 1)
     assert (ids[:, 0] == np.arange(500)).mean() > 0.97 and (np.diff(g.search(v, 8)[1], axis=1) >= 0).all()
     assert (g.links < 500).all() and all(len(set(x[x >= 0])) == (x >= 0).sum() for x in g.links)
-    assert Graph(v[:1]).own_nearest(3)[0].tolist() == [[-1, -1, -1]]
+    assert Graph(v[:1]).search(v[:2], 3)[0].tolist() == [[0, -1, -1], [0, -1, -1]]
+    assert Graph(v[:0]).search(v[:1], 2)[0].tolist() == [[-1, -1]]
