@@ -1,12 +1,13 @@
 """Trees out of child-parent links: paths, depths, roots, descendants, and circles.
 
-Links are spread over blocks of bounded size. A history (connected component)
-that fits into a block lies in one block; a larger one is cut into stretches of
-time, as children mostly come in after their parents. Leaves are peeled bottom
-up inside all blocks at once, as far as each block gets by itself; what crosses
-blocks (subtree sizes upwards, paths downwards) is handed over between rounds.
-The number of rounds is the number of times a path changes its block, not its
-depth: one where all histories fit.
+Nodes lie in blocks: ranges in the order of history (connected component), time
+and node, small enough for one task. In every round each block peels its leaves
+bottom up, as far as it gets by itself, and draws together what is left: a node
+with one way in and one way out gives way to a longer link. So of a history cut
+by blocks little but its crossings stays, and neighbouring blocks are merged for
+the next round. Rounds grow with the logarithm of the number of blocks, not
+with the depth. In reverse order of the rounds, and of the peeling within a
+block, every node then gets its place from its parent.
 """
 
 from __future__ import annotations
@@ -18,104 +19,131 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import keep
+from ..scratch import drop, keep
 from .components import connected_components
 
 BLOCK_LINKS = 200_000
-MAX_ROUNDS = 1000
-RING = ""
-
-
-def _blocks(links: DataFrame, block_links: int) -> DataFrame:
-    """Columns node, block. ``links``: child, parent, seen_at; where all fit into one block they need no components."""
-    if links.count() <= block_links:
-        ends = links.select(F.col("child").alias("node")).unionByName(links.select(F.col("parent").alias("node"))).distinct()
-        return keep(ends.select("node", F.lit("s0").alias("block")), "blocks")
-    comp = keep(connected_components(links, "child", "parent"), "components")
-    of = links.join(comp, links["child"] == comp["node"]).select("component", "child", "parent", "seen_at")
-    sizes = of.groupBy("component").agg(F.count("*").alias("n"), F.percentile_approx(F.unix_micros(F.col("seen_at").cast("timestamp")), [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, -(-total // block_links))
-    homes = comp.join(sizes, "component", "left")
-    small = homes.filter(F.coalesce("n", F.lit(0)) <= block_links).select("node", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string")).alias("block"))
+LEAST_LINKS = 5_000
+NO_SHRINK = 8
+
+
+def _blocks(links: DataFrame, block_links: int | None) -> tuple[DataFrame, int]:
+    """Columns node, block, and the number of blocks. ``links``: child, parent, seen_at. Two blocks a core, if that makes between ``LEAST_LINKS`` and ``BLOCK_LINKS`` links a block."""
+    n = links.count()
+    per = block_links or min(BLOCK_LINKS, max(LEAST_LINKS, n // (2 * links.sparkSession.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-n // per))
+    comp = connected_components(links, "child", "parent")
     born = links.groupBy(F.col("child").alias("node")).agg(F.min("seen_at").alias("at"))
-    large = (
-        homes.filter(F.col("n") > block_links)
-        .join(born, "node", "left")
-        .withColumn("part", F.expr(f"size(filter(cuts, c -> c < coalesce(unix_micros(cast(at as timestamp)), 0)))"))
-        .withColumn("fine", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("n") / (64 * block_links)))))
-        .select("node", F.concat_ws(":", F.lit("l"), F.col("component").cast("string"), F.col("part").cast("string"), F.col("fine").cast("string")).alias("block"))
-    )
-    return keep(small.unionByName(large), "blocks")
+    placed = comp.join(born, "node", "left").repartitionByRange(blocks, "component", "at", "node")
+    return keep(placed.select("node", F.spark_partition_id().alias("block")), "blocks"), blocks
 
 
-_UP = "block string, what string, node string, dst string, dst_block string, pending bigint, size bigint, seq bigint"
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
 
-def _peel_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Peels one block. Rows: ``node`` (pending: sources outside that are still there; size) and ``arc`` (node to dst)."""
-    block = rows["block"].iloc[0]
-    nodes = rows[rows["what"] == "node"]
-    pending = dict(zip(nodes["node"], nodes["pending"].astype("int64")))
-    size = dict(zip(nodes["node"], nodes["size"].astype("int64")))
-    out = defaultdict(list)
+def _fewer(blocks: int, left: int, per: int) -> int:
+    """How many neighbouring blocks become one, at least two, for ``left`` links to fill blocks of ``per``."""
+    return max(2, -(-blocks // max(1, -(-left // per))))
+
+
+# circles
+
+
+_SHRUNK = "block int, what string, src string, dst string, db int, via string"
+
+
+def _shrink(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block of a graph. Rows: ``arc`` (src in the block, dst in block db), ``in`` (src in the block has n arcs from outside).
+
+    Gives the arcs that stay (``arc``), nodes that other blocks must know of as gone (``to``, dst null) or as
+    part of another (``to``), and ``on``: src is on a circle if and only if dst and ``via`` are on the same one.
+    """
+    block = int(rows["block"].iloc[0])
+    outs: dict = defaultdict(dict)
+    ins: dict = defaultdict(set)
     arcs = rows[rows["what"] == "arc"]
-    for a, b, to in zip(arcs["node"], arcs["dst"], arcs["dst_block"]):
-        if a in pending:
-            out[a].append((b, to))
-            if to == block:
-                pending[b] = pending.get(b, 0) + 1
-    ready = [x for x, n in pending.items() if n == 0]
-    peeled, sent = [], []
+    for a, b, db in zip(arcs["src"], arcs["dst"], arcs["db"]):
+        outs[a][b] = db
+        if db == block:
+            ins[b].add(a)
+    given = rows[rows["what"] == "in"]
+    outside = dict(zip(given["src"], given["n"].astype("int64")))
+    nodes = set(outs) | set(ins) | set(outside)
+    gone, moved, on = set(), {}, []
+
+    def leave(x: str) -> list[str]:
+        touched = []
+        for b, db in outs.pop(x, {}).items():
+            if db == block and b != x:
+                ins[b].discard(x)
+                touched.append(b)
+        for a in ins.pop(x, ()):
+            if a != x:
+                outs[a].pop(x, None)
+                touched.append(a)
+        return touched
+
+    ready = list(nodes)
     while ready:
         x = ready.pop()
-        peeled.append(x)
-        for b, to in out.get(x, ()):
-            if to == block:
-                size[b] += size[x]
-                pending[b] -= 1
-                if pending[b] == 0:
-                    ready.append(b)
-            else:
-                sent.append((b, to, size[x]))
-    gone = set(peeled)
-    inside = defaultdict(int)
-    for a, arcs_of in out.items():
-        if a not in gone:
-            for b, to in arcs_of:
-                inside[b] += to == block
-    left = [(block, "node", x, None, None, n - inside.get(x, 0), size[x], None) for x, n in pending.items() if x not in gone]
-    done = [(block, "peeled", x, None, None, 0, size[x], i) for i, x in enumerate(peeled)]
-    sends = [(block, "sent", None, b, to, 1, s, None) for b, to, s in sent]
-    return pd.DataFrame(left + done + sends, columns=[c.split()[0] for c in _UP.split(", ")])
-
-
-def peel(arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Takes away nodes without incoming arcs until none is left.
-
-    ``arcs``: src, dst, src_block, dst_block, distinct; ``nodes``: node, block. Gives the peeled nodes
-    (node, block, round, seq, size: all nodes peeled into it, itself included, each as often as arcs lead there) and
-    the residual ones (node, block).
-    """
-    outside = arcs.filter("src_block <> dst_block").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("pending"))
-    state = nodes.join(outside, "node", "left").select("block", F.lit("node").alias("what"), "node", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("dst_block"), F.coalesce("pending", F.lit(0)).alias("pending"), F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("seq"))
-    as_rows = arcs.select(F.col("src_block").alias("block"), F.lit("arc").alias("what"), F.col("src").alias("node"), "dst", "dst_block", F.lit(0).cast("bigint").alias("pending"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("seq"))
-    active, waiting, peeled = state.unionByName(as_rows), None, None
-    for turn in range(MAX_ROUNDS):
-        done = keep(active.groupBy("block").applyInPandas(_peel_block, _UP), "peel")
-        new = done.filter("what = 'peeled'").select("node", "block", F.lit(turn).alias("round"), "seq", "size")
-        peeled = new if peeled is None else peeled.unionByName(new)
-        left = done.filter("what = 'node'")
-        left = left if waiting is None else waiting.unionByName(left)
-        sent = done.filter("what = 'sent'")
-        if sent.isEmpty():
-            return peeled, left.select("node", "block")
-        sums = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("pending").alias("less"), F.sum("size").alias("more"))
-        state = keep(left.join(sums, "node", "left").withColumn("pending", F.col("pending") - F.coalesce("less", F.lit(0))).withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).select(*left.columns), "left")
-        woken = sent.select(F.col("dst_block").alias("block")).distinct()
-        waiting = state.join(woken, "block", "left_anti")
-        active = state.join(woken, "block", "left_semi").unionByName(as_rows.join(woken, "block", "left_semi"))
-    raise RuntimeError("peeling did not settle")
+        if x not in gone and (not outs.get(x) or not (ins.get(x) or outside.get(x))):
+            gone.add(x)
+            ready += leave(x)
+    local = pd.DataFrame([(a, b) for a, to in outs.items() for b, db in to.items() if db == block], columns=["src", "dst"])
+    groups = defaultdict(list)
+    for x, head in _knots(local)[["node", "circle"]].itertuples(index=False):
+        groups[head].append(x)
+    for head, members in groups.items():
+        inside = set(members)
+        for x in members:
+            if x != head:
+                moved[x] = head
+                on.append((x, head, head))
+                outside[head] = outside.get(head, 0) + outside.pop(x, 0)
+                for b, db in outs.pop(x, {}).items():
+                    if db == block:
+                        ins[b].discard(x)
+                    if b not in inside:
+                        outs[head][b] = db
+                        if db == block:
+                            ins[b].add(head)
+                for a in ins.pop(x, ()):
+                    if a in outs:
+                        outs[a].pop(x, None)
+                        if a not in inside:
+                            outs[a][head] = block
+                            ins[head].add(a)
+        outs[head] = {b: db for b, db in outs[head].items() if b not in inside} | {head: block}
+        ins[head] = {a for a in ins[head] if a not in inside} | {head}
+    ready = list(outs)
+    spliced = []
+    while ready:
+        x = ready.pop()
+        if x not in outs or len(outs[x]) != 1 or len(ins.get(x, ())) != 1 or outside.get(x):
+            continue
+        (a,), ((b, db),) = ins[x], outs[x].items()
+        if a == x or b == x:
+            continue
+        del outs[x], ins[x]
+        spliced.append((x, a, b))
+        gone.add(x)
+        del outs[a][x]
+        outs[a][b] = db
+        if db == block:
+            ins[b].discard(x)
+            ins[b].add(a)
+            ready.append(b)
+        ready.append(a)
+    # an end that was drawn together later stands for what lies on its own longer link
+    ends: dict = {}
+    for x, a, b in reversed(spliced):
+        ends[x] = ends.get(a) or ends.get(b) or (a, b)
+    on += [(x, *e) for x, e in ends.items()]
+    stay = [(block, "arc", a, b, db, None) for a, to in outs.items() for b, db in to.items()]
+    told = [(block, "to", x, None, block, None) for x in outside.keys() & gone] + [(block, "to", x, h, block, None) for x, h in moved.items()]
+    made = [(block, "on", x, a, block, b) for x, a, b in on]
+    return _frame(stay + told + made, _SHRUNK)
 
 
 def _knots(rows: pd.DataFrame) -> pd.DataFrame:
@@ -157,15 +185,13 @@ def _knots(rows: pd.DataFrame) -> pd.DataFrame:
                     on.difference_update(group)
                     if len(group) > 1 or x in out.get(x, ()):
                         found += [(y, min(group), len(group)) for y in group]
-    return pd.DataFrame(found, columns=["node", "circle", "circle_size"])
+    return _frame(found, "node string, circle string, circle_size bigint")
 
 
 def _spread(arcs: DataFrame) -> DataFrame:
     """Strong components of residual links too many for one task: forward colouring, then backward reach within a colour."""
     found, left = None, arcs.select("src", "dst")
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         color = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct().withColumn("color", F.col("node"))
         while True:
             heard = left.join(color, left["src"] == color["node"]).groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("heard"))
@@ -187,117 +213,226 @@ def _spread(arcs: DataFrame) -> DataFrame:
     return found if found is not None else arcs.select(F.col("src").alias("node"), F.col("src").alias("circle"), F.lit(1).cast("bigint").alias("circle_size")).limit(0)
 
 
-def _arcs(links: DataFrame, blocks: DataFrame) -> DataFrame:
-    c = blocks.select(F.col("node").alias("src"), F.col("block").alias("src_block"))
-    p = blocks.select(F.col("node").alias("dst"), F.col("block").alias("dst_block"))
-    return keep(links.select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct().join(c, "src").join(p, "dst").select("src", "dst", "src_block", "dst_block"), "arcs")
-
-
 def _links(df: DataFrame, child: str, parent: str, ordinal: str | None, seen_at: str | None) -> DataFrame:
     cols = [F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("parent"), (F.col(ordinal) if ordinal else F.lit(0)).alias("ordinal"), (F.col(seen_at) if seen_at else F.lit(None).cast("timestamp_ntz")).alias("seen_at")]
     return df.select(*cols).filter(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("child", "parent").agg(F.min("ordinal").alias("ordinal"), F.min("seen_at").alias("seen_at"))
 
 
-def circles(df: DataFrame, child: str, parent: str, seen_at: str | None = None, block_links: int = BLOCK_LINKS) -> DataFrame:
+def circles(df: DataFrame, child: str, parent: str, seen_at: str | None = None, block_links: int | None = None) -> DataFrame:
     """Nodes from which links lead back to themselves: node, circle (its smallest node), circle_size.
 
-    All links count, whatever their ordinal. Leaves are peeled from below, then
-    from above; the residual links hold every circle and the ways between
-    circles, and only there strong components are looked for. Null ends are no
-    links, repeated links count once, a link to itself is a circle of one.
+    All links count, whatever their ordinal. Blocks are peeled from below and from
+    above; circles within a block become one node, chains one link, and neighbouring blocks are merged
+    until one is left, or the links between circles alone. Should a graph not shrink, strong components of the rest
+    are found by colouring. Null ends are no links, repeated links count once, a link to itself is a circle of one.
     """
     links = keep(_links(df, child, parent, None, seen_at), "links")
-    blocks = _blocks(links, block_links)
-    arcs = _arcs(links, blocks)
-    _, rest = peel(arcs, blocks)
-    up = keep(arcs.join(rest.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_block").alias("src_block"), F.col("src_block").alias("dst_block")), "arcs")
-    _, rest = peel(up, rest)
-    knot = keep(up.join(rest.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_block").alias("block")), "residual")
-    parts = knot.filter("block like 's%'").groupBy("block").applyInPandas(_knots, "node string, circle string, circle_size bigint")
-    large = knot.filter("block like 'l%'")
-    return parts if large.isEmpty() else parts.unionByName(_spread(large))
-
-
-_DOWN = "block string, what string, node string, parent string, parent_block string, dst_block string, path array<string>, size bigint, rank bigint"
-
-
-def _assign_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Paths inside a block, in reverse peel order; a null goes before one that hangs on a circle. ``node``: has a parent or none; ``given``: path of a parent outside; ``out``: child in another block."""
-    block = rows["block"].iloc[0]
-    given = rows[rows["what"] == "given"]
-    paths = {n: list(p) for n, p in zip(given["node"], given["path"])}
-    outs = defaultdict(list)
-    o = rows[rows["what"] == "out"]
-    for n, c, to in zip(o["parent"], o["node"], o["dst_block"]):
-        outs[n].append((c, to))
-    nodes = rows[rows["what"] == "node"].sort_values("rank", ascending=False, kind="stable")
-    here: dict = {}
-    done, left, sent = [], [], []
-    for n, parent, home, size, rank in zip(nodes["node"], nodes["parent"], nodes["parent_block"], nodes["size"], nodes["rank"]):
-        if parent is None or parent != parent:
-            path = [n]
-        elif home == RING:
-            path = [None, n]
-        elif home == block and parent in here:
-            path = [*here[parent], n]
-        elif home != block and n in paths:
-            path = [*paths[n], n]
-        else:
-            left.append((block, "node", n, parent, home, None, None, size, rank))
+    home, blocks = _blocks(links, block_links)
+    s, t = home.select(F.col("node").alias("src"), F.col("block").alias("sb")), home.select(F.col("node").alias("dst"), F.col("block").alias("db"))
+    arcs = keep(links.select(F.col("child").alias("src"), F.col("parent").alias("dst")).join(s, "src").join(t, "dst").select("src", "dst", "sb", "db"), "arcs")
+    left = arcs.count()
+    per = max(1, -(-left // blocks))
+    drawn: list[DataFrame] = []
+    null = F.lit(None).cast("string")
+    while True:
+        own = arcs.select(F.col("sb").alias("block"), F.lit("arc").alias("what"), "src", "dst", "db", F.lit(0).cast("bigint").alias("n"))
+        # how many, not which: a parent of any number of children elsewhere is one row
+        heard = arcs.filter("sb <> db").groupBy(F.col("db").alias("block"), F.col("dst").alias("src")).agg(F.count("*").alias("n"))
+        outside = heard.select("block", F.lit("in").alias("what"), "src", null.alias("dst"), F.lit(None).cast("int").alias("db"), "n")
+        done = keep(own.unionByName(outside).groupBy("block").applyInPandas(_shrink, _SHRUNK), "shrunk")
+        drop(arcs)
+        drawn.append(done.filter("what = 'on'").select(F.col("src").alias("node"), F.col("dst").alias("a"), F.col("via").alias("b")))
+        fixes = done.filter("what = 'to'").select(F.col("src").alias("dst"), F.col("dst").alias("now"), F.lit(True).alias("fix"))
+        stay = done.filter("what = 'arc'").select("src", "dst", F.col("block").alias("sb"), "db").join(fixes, "dst", "left").filter("fix is null or now is not null").withColumn("dst", F.coalesce("now", "dst"))
+        before = left
+        if blocks == 1:
+            left_arcs = keep(stay.select("src", "dst", "sb", "db").distinct(), "arcs")
+            break
+        left_arcs = keep(stay.select("src", "dst", "sb", "db").distinct(), "arcs")
+        left = left_arcs.count()
+        if left_arcs.filter("src <> dst").isEmpty():
+            break
+        many = _fewer(blocks, left, per)
+        if left > 0.9 * before and left * many > NO_SHRINK * BLOCK_LINKS * blocks:
+            rest = _spread(left_arcs).select("node", F.col("circle").alias("label"))
+            left_arcs = None
+            break
+        blocks = -(-blocks // many)
+        arcs = left_arcs.withColumns({"sb": F.floor(F.col("sb") / many).cast("int"), "db": F.floor(F.col("db") / many).cast("int")})
+    found = keep(rest if left_arcs is None else left_arcs.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("label")), "labels")
+    for step in reversed(drawn):
+        a, b = found.select(F.col("node").alias("a"), "label"), found.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        more = step.join(a, "a").join(b, "b").filter("label = lb").select("node", "label")
+        found = keep(found.unionByName(more), "labels")
+    whole = found.groupBy("label").agg(F.min("node").alias("circle"), F.count("*").alias("circle_size"))
+    return found.join(whole, "label").select("node", "circle", "circle_size")
+
+
+# trees over first parents
+
+
+_STATE = "block int, what string, seq bigint, node string, size bigint, parent string, pb int, hops bigint, held bigint, last string, child string"
+_COLS = [c.split()[0] for c in _STATE.split(", ")]
+
+
+def _peel(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block of a forest, or of trees that hang on circles. Rows: ``live`` (a node, its subtree's size as far as known, and its link: parent
+    in block pb, hops, ``held``: sizes of the nodes drawn into the link, ``last``: the one next to the parent), ``in`` (node has ``size`` links from outside).
+
+    Leaves are peeled bottom up (``leaf``, its size is final); a node with one child left, in the block, is
+    drawn into the link of that child (``mid``). Sizes for parents elsewhere are sent (``add``); the rest stays ``live``.
+    """
+    block = int(rows["block"].iloc[0])
+    live = rows[rows["what"] == "live"]
+    given = rows[rows["what"] == "in"]
+    outside = dict(zip(given["node"], given["size"].astype("int64")))
+    at: dict = {}
+    kids: dict = defaultdict(set)
+    for n, size, parent, pb, hops, held, last in zip(live["node"], live["size"], live["parent"], live["pb"], live["hops"], live["held"], live["last"]):
+        parent = parent if isinstance(parent, str) else None
+        at[n] = [int(size), parent, int(pb) if parent is not None else None, int(hops), int(held), last]
+        if parent is not None and pb == block:
+            kids[parent].add(n)
+    out = []
+    adds: dict = defaultdict(int)
+    ready = [n for n in at if not kids.get(n) and not outside.get(n)]
+    while ready:
+        n = ready.pop()
+        size, parent, pb, hops, held, last = at.pop(n)
+        out.append(("leaf", n, size, parent, pb, hops, held, last, None))
+        if parent is None:
             continue
-        here[n] = path
-        done.append((block, "done", n, parent, home, None, path, size, rank))
-        sent += [(block, "sent", c, None, None, to, path, 0, 0) for c, to in outs.get(n, ())]
-    return pd.DataFrame(done + left + sent, columns=[c.split()[0] for c in _DOWN.split(", ")])
+        if pb != block:
+            adds[parent, pb] += size + held
+            continue
+        at[parent][0] += size + held
+        kids[parent].discard(n)
+        if not kids[parent] and not outside.get(parent):
+            ready.append(parent)
+    for n in list(at):
+        size, parent, pb, hops, held, last = at[n]
+        if parent is None or parent == n or outside.get(n) or len(kids[n]) != 1:
+            continue
+        (child,) = kids[n]
+        low = at[child]
+        out.append(("mid", n, size + low[4], parent, pb, hops, held, last, child))
+        at[child] = [low[0], parent, pb, low[3] + hops, low[4] + size + held, last]
+        del at[n]
+        if pb == block:
+            kids[parent].discard(n)
+            kids[parent].add(child)
+    done = [(block, what, i, *rest) for i, (what, *rest) in enumerate(out)]
+    done += [(block, "add", 0, p, size, None, pb, 0, 0, None, None) for (p, pb), size in adds.items()]
+    done += [(block, "live", 0, n, size, parent, pb, hops, held, last, None) for n, (size, parent, pb, hops, held, last) in at.items()]
+    return _frame(done, _STATE)
+
+
+_PLACE = "node string, state string, top string, depth bigint, size bigint"
+
+
+def _place(rows: pd.DataFrame) -> pd.DataFrame:
+    """What one block peeled in one round, in reverse order; rows ``known`` are the nodes outside of it that it refers to (state in ``last``, top in ``parent``, depth in ``hops``)."""
+    known = rows[rows["what"] == "known"]
+    at = {n: (state, top, depth, size) for n, state, top, depth, size in zip(known["node"], known["last"], known["parent"], known["hops"], known["size"])}
+    mine = rows[rows["what"] != "known"].sort_values("seq", ascending=False, kind="stable")
+    done = []
+    for what, n, size, parent, hops, last, child in zip(mine["what"], mine["node"], mine["size"], mine["parent"], mine["hops"], mine["last"], mine["child"]):
+        if what == "mid":
+            size += at[child][3]
+        if what == "mid" and at[child][0] == "circle":
+            place = "circle", None, 0, 0
+        elif not isinstance(parent, str):
+            place = "tree", n, 0, size
+        else:
+            state, top, depth, _ = at[parent]
+            place = ("below_circle", last, hops - 1, size) if state == "circle" else (state, top, depth + hops, size)
+        at[n] = place
+        done.append((n, *place))
+    return _frame(done, _PLACE)
 
 
-def hierarchy(df: DataFrame, child: str, parent: str, ordinal: str | None = None, seen_at: str | None = None, block_links: int = BLOCK_LINKS) -> DataFrame:
+def places(df: DataFrame, child: str, parent: str, ordinal: str | None = None, seen_at: str | None = None, block_links: int | None = None) -> DataFrame:
+    """Parent, root, depth and number of descendants of every node, over first parents, without the paths.
+
+    Result: node, parent, root, depth (0 at a root), n_descendants, state, and for ``below_circle`` top and
+    below (the first node outside the circle, and the distance to it). See ``hierarchy``.
+    """
+    ids = df.select(F.col(child).cast("string").alias("node")).unionByName(df.select(F.col(parent).cast("string").alias("node"))).filter("node is not null").distinct()
+    links = _links(df, child, parent, ordinal, seen_at)
+    first = links.groupBy("child").agg(F.min(F.struct("ordinal", "parent", "seen_at")).alias("f")).select("child", F.col("f.parent").alias("parent"), F.col("f.seen_at").alias("seen_at"))
+    first = keep(first, "first")
+    home, blocks = _blocks(first, block_links)
+    up = first.select(F.col("child").alias("node"), "parent")
+    start = home.join(up, "node", "left").join(home.select(F.col("node").alias("parent"), F.col("block").alias("pb")), "parent", "left")
+    zero = F.lit(0).cast("bigint")
+    null = F.lit(None).cast("string")
+    live = keep(start.select("block", F.lit("live").alias("what"), zero.alias("seq"), "node", F.lit(1).cast("bigint").alias("size"), "parent", "pb", F.lit(1).cast("bigint").alias("hops"), zero.alias("held"), F.col("node").alias("last"), null.alias("child")), "live")
+    per = max(1, -(-live.count() // blocks))
+    rounds = []
+    while True:
+        heard = live.filter("pb <> block").groupBy(F.col("pb").alias("block"), F.col("parent").alias("node")).agg(F.count("*").alias("size"))
+        outside = heard.select("block", F.lit("in").alias("what"), zero.alias("seq"), "node", "size", null.alias("parent"), F.lit(None).cast("int").alias("pb"), zero.alias("hops"), zero.alias("held"), null.alias("last"), null.alias("child"))
+        done = keep(live.unionByName(outside).groupBy("block").applyInPandas(_peel, _STATE), "peeled")
+        drop(live)
+        rounds.append(done.filter("what in ('leaf', 'mid')"))
+        adds = done.filter("what = 'add'").groupBy("node").agg(F.sum("size").alias("more"))
+        rest = done.filter("what = 'live'").join(adds, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", zero)).select(*_COLS)
+        live = keep(rest, "live")
+        left = live.count()
+        if blocks == 1 or not left:
+            break
+        many = _fewer(blocks, left, per)
+        blocks = -(-blocks // many)
+        live = live.withColumns({"block": F.floor(F.col("block") / many).cast("int"), "pb": F.floor(F.col("pb") / many).cast("int")})
+    # what is left at the end are circles
+    found = keep(live.select("node", F.lit("circle").alias("state"), null.alias("top"), zero.alias("depth"), zero.alias("size")), "placed")
+    for step in reversed(rounds):
+        refs = step.select("block", F.explode(F.array("parent", "child")).alias("node")).filter("node is not null").distinct().join(found, "node")
+        known = refs.select("block", F.lit("known").alias("what"), zero.alias("seq"), "node", "size", F.col("top").alias("parent"), F.lit(None).cast("int").alias("pb"), F.col("depth").alias("hops"), zero.alias("held"), F.col("state").alias("last"), null.alias("child"))
+        found = keep(found.unionByName(step.unionByName(known).groupBy("block").applyInPandas(_place, _PLACE)), "placed")
+    every = ids.join(found, "node", "left").join(up, "node", "left")
+    state = F.coalesce("state", F.lit("tree"))
+    tree = state == "tree"
+    return keep(
+        every.select(
+            "node", "parent", F.when(tree, F.coalesce("top", "node")).alias("root"), F.when(tree, F.coalesce("depth", zero)).cast("int").alias("depth"),
+            F.when(state != "circle", F.coalesce("size", F.lit(1)) - 1).cast("bigint").alias("n_descendants"), state.alias("state"),
+            F.when(state == "below_circle", F.col("top")).alias("top"), F.when(state == "below_circle", F.col("depth")).cast("int").alias("below"),
+        ),
+        "places",
+    )
+
+
+def paths(tree: DataFrame) -> DataFrame:
+    """Node and path (from the root, or from the first node outside a circle, to the node) of all nodes of ``places`` but circles'. Paths are doubled in length in every round."""
+    top = F.coalesce("depth", "below") == 0
+    now, earlier = keep(tree.filter("state <> 'circle'").select("node", F.when(~top, F.col("parent")).alias("jump"), F.array("node").alias("path")), "paths"), None
+    while True:
+        known = now if earlier is None else now.unionByName(earlier)
+        active = now.filter("jump is not null")
+        if active.isEmpty():
+            return known.select("node", "path")
+        above = known.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("upper"))
+        ended = now.filter("jump is null")
+        now = keep(active.join(above, "jump").select("node", F.col("next").alias("jump"), F.concat("upper", "path").alias("path")), "paths")
+        earlier = ended if earlier is None else earlier.unionByName(ended)
+
+
+def hierarchy(df: DataFrame, child: str, parent: str, ordinal: str | None = None, seen_at: str | None = None, block_links: int | None = None) -> DataFrame:
     """Full path, depth, root and number of descendants of every node, over first parents.
 
     Bottom-up peeling sends subtree sizes to the parents; in reverse peel order
-    every node then takes its parent's path. Result: node, parent, root, depth
+    every node then takes its place from its parent. Result: node, parent, root, depth
     (0 at a root), path (root first), n_descendants, state: ``tree``, ``circle``
     (on a circle of first parents) or ``below_circle``. The latter two have no
     root or depth; paths below a circle start at the first node outside it, and a
     circle's nodes have neither path nor n_descendants. An id that only occurs as parent is a node. The first parent is
     the one with the smallest ordinal, then the smallest id. Null ends are no
     links; a child with null parents only is a root. Repeated rows count once.
+    The paths are as large as the sum of all depths; where histories are very deep, use ``places``.
     """
-    ids = df.select(F.col(child).cast("string").alias("node")).unionByName(df.select(F.col(parent).cast("string").alias("node"))).filter("node is not null").distinct()
-    links = keep(_links(df, child, parent, ordinal, seen_at), "links")
-    first = links.groupBy("child").agg(F.min(F.struct("ordinal", "parent", "seen_at")).alias("f")).select("child", F.col("f.parent").alias("parent"), F.col("f.seen_at").alias("seen_at"))
-    first = keep(first, "first")
-    blocks = _blocks(first, block_links)
-    alone = ids.join(blocks, "node", "left_anti").select("node")
-    arcs = _arcs(first, blocks)
-    peeled, stuck = peel(arcs, blocks)
-    peeled = keep(peeled, "peeled")
-    up = arcs.select(F.col("src").alias("node"), F.col("dst").alias("parent"), F.col("dst_block").alias("parent_block"))
-    null = F.lit(None).cast("string")
-    held = up.join(stuck.select(F.col("node").alias("parent"), F.lit(RING).alias("ring")), "parent", "left").select("node", "parent", F.coalesce("ring", "parent_block").alias("parent_block"))
-    state = peeled.join(held, "node", "left").select("block", F.lit("node").alias("what"), "node", "parent", "parent_block", null.alias("dst_block"), F.lit(None).cast("array<string>").alias("path"), "size", (F.col("round") * (1 << 40) + F.col("seq")).alias("rank"))
-    outs = arcs.filter("src_block <> dst_block").select(F.col("dst_block").alias("block"), F.lit("out").alias("what"), F.col("src").alias("node"), F.col("dst").alias("parent"), null.alias("parent_block"), F.col("src_block").alias("dst_block"), F.lit(None).cast("array<string>").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("rank"))
-    active, waiting, done = state.unionByName(outs), None, None
-    for _ in range(MAX_ROUNDS):
-        step = keep(active.groupBy("block").applyInPandas(_assign_block, _DOWN), "paths")
-        new = step.filter("what = 'done'")
-        done = new if done is None else done.unionByName(new)
-        left = step.filter("what = 'node'")
-        left = left if waiting is None else waiting.unionByName(left)
-        sent = step.filter("what = 'sent'")
-        if sent.isEmpty():
-            break
-        woken = sent.select(F.col("dst_block").alias("block")).distinct()
-        given = sent.select(F.col("dst_block").alias("block"), F.lit("given").alias("what"), "node", "parent", "parent_block", null.alias("dst_block"), "path", "size", "rank")
-        waiting = left.join(woken, "block", "left_anti")
-        active = left.join(woken, "block", "left_semi").unionByName(given).unionByName(outs.join(woken, "block", "left_semi"))
-    of_tree = done.filter(F.get("path", F.lit(0)).isNotNull()).select("node", "parent", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), F.lit("tree").alias("state"))
-    none = [null.alias("root"), F.lit(None).cast("int").alias("depth")]
-    above = up.select("node", "parent")
-    below = done.filter(F.get("path", F.lit(0)).isNull()).select("node", "parent", *none, F.slice("path", F.lit(2), F.size("path") - 1).alias("path"), (F.col("size") - 1).alias("n_descendants"), F.lit("below_circle").alias("state"))
-    rings = stuck.join(above, "node", "left").select("node", "parent", *none, F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("bigint").alias("n_descendants"), F.lit("circle").alias("state"))
-    singles = alone.select("node", null.alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(0).cast("bigint").alias("n_descendants"), F.lit("tree").alias("state"))
-    return of_tree.unionByName(below).unionByName(rings).unionByName(singles)
+    tree = places(df, child, parent, ordinal, seen_at, block_links)
+    return tree.join(paths(tree), "node", "left").select("node", "parent", "root", "depth", "path", "n_descendants", "state")
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Cutting lineage through tables written to the folder that all executors share.
 
-The folder is the one in ``spark.checkpoint.dir``. Only where that setting is
-missing (tests, local runs) is a temporary folder of this machine used. A table
+The folder is the one in ``spark.checkpoint.dir``. Where that setting is missing
+a session on this machine alone (tests) uses a temporary folder; on a cluster
+it is an error. A table
 outlives the executor that wrote it, is read back with column pruning, and goes
 when the Python process ends.
 """
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     at = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,10 +39,10 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_last(df: DataFrame) -> None:
+def drop(df: DataFrame) -> None:
     """Removes the tables that ``keep`` wrote and ``df`` reads; for rounds that are done with."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for item in [x for x in _written if path.endswith(x[1].rsplit("/", 1)[1])]:
+    for name in {f.rsplit("/", 2)[1] for f in df.inputFiles()}:
+        for item in [x for x in _written if x[1].rsplit("/", 1)[1] == name]:
             _remove(*item)
             _written.remove(item)
 
