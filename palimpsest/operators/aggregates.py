@@ -68,19 +68,21 @@ def calibration(df: DataFrame, predicted: str, outcome: str, bins: int = 10) ->
     return b.agg(F.sum("c").alias("n"), (F.sum("se") / F.sum("c")).alias("brier"), (F.sum(F.col("c") * F.abs(F.col("mp") - F.col("my"))) / F.sum("c")).alias("ece"))
 
 
-def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, group: str) -> DataFrame:
+def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, group: list[str]) -> DataFrame:
     """Shares per equal-width bin and group; out-of-range values count at the ends, empty bins get a floor of 1e-6."""
     b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((value - low) / ((high - low) / bins)))).cast("int")
-    counts = df.groupBy(F.col(group), b.alias("bin")).agg(F.count("*").alias("c"))
-    total = counts.groupBy(group).agg(F.sum("c").alias("t")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return total.join(counts, [group, "bin"], "left").select(group, "bin", F.greatest(F.coalesce("c", F.lit(0)) / F.col("t"), F.lit(1e-6)).alias("share"))
+    counts = df.groupBy(*group, b.alias("bin")).agg(F.count("*").alias("c"))
+    total = counts.groupBy(*group).agg(F.sum("c").alias("t")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return total.join(counts, [*group, "bin"], "left").select(*group, "bin", F.greatest(F.coalesce("c", F.lit(0)) / F.col("t"), F.lit(1e-6)).alias("share"))
 
 
-def drift(bins: DataFrame, group: str, base: object, now: object) -> DataFrame:
-    """Population stability index and symmetric KL divergence of two groups of a histogram."""
-    a = bins.filter(F.col(group) == base).select("bin", F.col("share").alias("p"))
-    b = bins.filter(F.col(group) == now).select("bin", F.col("share").alias("q"))
-    return a.join(b, "bin").agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"), (F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))) / 2 + F.sum(F.col("q") * F.log(F.col("q") / F.col("p"))) / 2).alias("kl"))
+def divergence(bins: DataFrame, group: str, base: object, now: object, by: list[str]) -> DataFrame:
+    """Population stability index and symmetric KL divergence of two groups of a histogram, for each of ``by``."""
+    a = bins.filter(F.col(group) == base).select(*by, "bin", F.col("share").alias("p"))
+    b = bins.filter(F.col(group) == now).select(*by, "bin", F.col("share").alias("q"))
+    up = lambda c: F.greatest(F.lit(0.0), F.sum(c))
+    p, q = F.col("p"), F.col("q")
+    return a.join(b, [*by, "bin"]).groupBy(*by).agg(up((q - p) * F.log(q / p)).alias("psi"), ((up(p * F.log(p / q)) + up(q * F.log(q / p))) / 2).alias("kl"))
 
 
 def drift_action(psi: Column, shift: Column, kl: Column, n: Column) -> Column:
@@ -106,19 +108,22 @@ def share_of_top(df: DataFrame, group: str, by: str) -> DataFrame:
     return c.groupBy(group).agg(F.max_by(by, F.struct(F.col("c"), F.col(by))).alias("top"), (F.max("c") / F.sum("c")).alias("share"), F.sum("c").alias("n"))
 
 
-def co_changed(df: DataFrame, group: str, item: str, most_per_group: int = 1_000) -> DataFrame:
-    """Strength 1-0.8^n of items changed together n times; groups over ``most_per_group`` items are bulk changes and say nothing."""
-    d = df.select(group, item).distinct()
-    size = d.groupBy(group).agg(F.count("*").alias("g")).filter(F.col("g") <= most_per_group)
-    d = d.join(size, group)
-    pairs = d.select(group, F.col(item).alias("a")).join(d.select(group, F.col(item).alias("b")), group).filter("a < b")
+def co_changed(df: DataFrame, group: str, item: str, part: int = 500) -> DataFrame:
+    """Strength 1-0.8^n of items changed together n times. Groups are cut into parts of about ``part`` items, and every two parts meet in a task of their own."""
+    d = df.select(F.col(group).alias("g"), F.col(item).alias("x")).filter("g is not null and x is not null").distinct()
+    size = d.groupBy("g").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    d = d.join(size, "g").withColumn("mine", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    d = d.select("g", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "x")
+    met = d.select("g", "lo", "hi", F.col("mine").alias("ma"), F.col("x").alias("a")).join(d.select("g", "lo", "hi", F.col("mine").alias("mb"), F.col("x").alias("b")), ["g", "lo", "hi"])
+    pairs = met.filter("a < b and (lo = hi or ma <> mb)")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("strength", 1 - F.pow(F.lit(0.8), F.col("n")))
 
 
 def capacity_victims(df: DataFrame, capacity: int, score: Column) -> DataFrame:
-    """The rows of lowest score beyond the capacity, ties by uri."""
-    excess = max(0, df.count() - capacity)
-    return df.withColumn("keep_score", score).orderBy("keep_score", "uri").limit(excess)
+    """The rows of lowest score beyond the capacity, ties by uri: all but the ``capacity`` highest, which alone are gathered."""
+    scored = df.withColumn("keep_score", score)
+    kept = scored.orderBy(F.desc("keep_score"), F.desc("uri")).limit(capacity).select("uri")
+    return scored.join(kept, "uri", "left_anti")
 
 
 def temperature(df: DataFrame, logit: Column, target: Column) -> DataFrame:

@@ -56,9 +56,13 @@ def where(df: DataFrame, conditions: list[Column]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, conditions, F.lit(True)))
 
 
-def allowed(df: DataFrame, rules: DataFrame, most: int = 10_000) -> DataFrame:
-    """Rows that the first matching rule allows. Rules (prefix, effect, priority) are a policy of bounded size; the highest priority wins, then the longest prefix; without a match access is denied."""
-    r = F.broadcast(rules.limit(most))
-    m = df.select("uri").join(r, (F.col("uri") == F.col("prefix")) | F.col("uri").startswith(F.concat("prefix", F.lit("/"))))
-    verdict = m.groupBy("uri").agg(F.max_by("effect", F.struct("priority", F.length("prefix"))).alias("effect"))
+def allowed(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows that the first matching rule allows.
+
+    Rules (prefix, effect, priority): the highest priority wins, then the longest prefix, then deny over allow; without a
+    match access is denied. Any number of rules: every address is looked up by its own prefixes, so the join is by equality.
+    """
+    segments = F.split("uri", "/")
+    asked = df.select("uri").distinct().withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, F.lit(1), n), "/"))))
+    verdict = asked.join(rules.select("prefix", "effect", "priority"), "prefix").groupBy("uri").agg(F.max_by("effect", F.struct("priority", F.length("prefix"), F.col("effect") != "allow")).alias("effect"))
     return df.join(verdict.filter("effect = 'allow'").select("uri"), "uri", "left_semi")

@@ -82,8 +82,10 @@ def read_many(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def grep_many(df: DataFrame, patterns: DataFrame, most: int = 10_000) -> DataFrame:
-    """Entries by pattern; the patterns (pattern, scope) are a request of bounded size."""
-    asked = F.broadcast(patterns.limit(most))
+    """Entries by pattern; the patterns (pattern, scope) are a request, which is refused beyond ``most``."""
+    if patterns.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} patterns")
+    asked = F.broadcast(patterns)
     return df.join(asked, F.contains(F.lower("l0"), F.lower("pattern")) & (F.col("scope").isNull() | (F.col("uri") == F.col("scope")) | F.col("uri").startswith(F.concat("scope", F.lit("/"))))).select("pattern", "uri")
 
 

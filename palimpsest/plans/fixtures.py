@@ -49,6 +49,23 @@ FX = f"""fx AS (
  t0 AS (SELECT TIMESTAMP '{NOW}' AS t)"""
 
 
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """Entries, and of each whose first sentence holds can, must or should that sentence with the opposite, of another quality."""
+    e = entries(spark, d).select("uri", "tenant", "agent", "content_type", "l0", "quality", "mvcc_version", "valid_until", F.col("tags").alias("evidence"))
+    turned = F.split("l0", r"[.] ", 2)[0]
+    for word, other in (("can", "cannot"), ("must", "must not"), ("should", "should not")):
+        turned = F.replace(turned, F.lit(f" {word} "), F.lit(f" {other} "))
+    r = e.withColumn("r", turned).filter(F.col("r") != F.split("l0", r"[.] ", 2)[0])
+    revised = r.select(F.concat("uri", F.lit("/revised")).alias("uri"), "tenant", "agent", "content_type", F.col("r").alias("l0"), (1 - F.col("quality")).alias("quality"), (F.col("mvcc_version") + 1).alias("mvcc_version"), "valid_until", "evidence")
+    return e.unionByName(revised)
+
+
+CLX = f"""{FX}, cr AS (SELECT *, split_part(l0, '. ', 1) AS f FROM fx),
+ cl AS (SELECT uri, tenant, agent, content_type, l0, quality, mvcc_version, valid_until, tags AS evidence FROM fx
+  UNION ALL SELECT uri || '/revised', tenant, agent, content_type, replace(replace(replace(f, ' can ', ' cannot '), ' must ', ' must not '), ' should ', ' should not '), 1 - quality, mvcc_version + 1, valid_until, tags
+  FROM cr WHERE contains(f, ' can ') OR contains(f, ' must ') OR contains(f, ' should '))"""
+
+
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """Distinct versions: uri, version, tx (when it was written), valid_from, valid_until (the 10 days after every third)."""
     v = table(spark, d, "context_versions").groupBy("uri", "mvcc_version").agg(F.min_by(F.struct("l0_abstract", "content_type", "created_at", "ingested_at"), "ingested_at").alias("v"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vec as V
+from ..functions import vec as VEC
 from ..operators import aggregates as A
 from ..operators import temporal as M
+from ..operators import ranking as R
 from ..operators.ranking import per_group
 from ..tables import table
 from .fixtures import CX, DX, FX, NOW, OX, VX, Catalog, commits, deltas, entries, now, versions, votes
@@ -185,35 +186,68 @@ def a_depcount(s, d):
     return p.groupBy(F.col("parent_id").alias("uri")).agg(F.countDistinct("commit_id").alias("n"))
 
 
-HX = "e AS (SELECT label % 2 AS g, vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT g, least(9, greatest(0, floor((v[1] + 1) / 0.2)))::INT AS bin, count(*) AS c FROM e GROUP BY ALL), t AS (SELECT g, sum(c) AS t, unnest(range(10))::INT AS bin FROM c GROUP BY g), h AS (SELECT t.g, t.bin, greatest(coalesce(c.c, 0) / t.t, 1e-6) AS share FROM t LEFT JOIN c ON c.g = t.g AND c.bin = t.bin)"
+HX = (
+    "e AS (SELECT label % 2 AS g, vec_id, embedding::DOUBLE[] AS v FROM embeddings),"
+    " x AS (SELECT g, i AS dim, v[i + 1] AS x FROM e, range(16) t(i)),"
+    " c AS (SELECT g, dim, least(9, greatest(0, floor((x + 1) / 0.2)))::INT AS bin, count(*) AS c FROM x GROUP BY ALL),"
+    " t AS (SELECT g, dim, sum(c) AS t, unnest(range(10))::INT AS bin FROM c GROUP BY g, dim),"
+    " h AS (SELECT t.g, t.dim, t.bin, greatest(coalesce(c.c, 0) / t.t, 1e-6) AS share FROM t LEFT JOIN c ON c.g = t.g AND c.dim = t.dim AND c.bin = t.bin),"
+    " nc AS (SELECT g, least(9, greatest(0, floor(sqrt(list_dot_product(v, v)) / 6.4)))::INT AS bin, count(*) AS c FROM e GROUP BY ALL),"
+    " nt AS (SELECT g, sum(c) AS t, unnest(range(10))::INT AS bin FROM nc GROUP BY g),"
+    " nh AS (SELECT nt.g, nt.bin, greatest(coalesce(nc.c, 0) / nt.t, 1e-6) AS share FROM nt LEFT JOIN nc ON nc.g = nt.g AND nc.bin = nt.bin),"
+    " q AS (SELECT avg(s) AS psi FROM (SELECT a.dim, greatest(0, sum((b.share - a.share) * ln(b.share / a.share))) AS s FROM h a JOIN h b ON a.dim = b.dim AND a.bin = b.bin AND a.g = 0 AND b.g = 1 GROUP BY a.dim)),"
+    " k AS (SELECT (greatest(0, sum(a.share * ln(a.share / b.share))) + greatest(0, sum(b.share * ln(b.share / a.share)))) / 2 AS kl FROM nh a JOIN nh b ON a.bin = b.bin AND a.g = 0 AND b.g = 1),"
+    " z AS (SELECT g, list(m ORDER BY i) AS c FROM (SELECT g, i, avg(v[i]) AS m FROM e, range(1, 65) t(i) GROUP BY g, i) GROUP BY g),"
+    " w AS (SELECT (1 - list_cosine_similarity(a.c, b.c)) / 2 AS shift FROM z a JOIN z b ON a.g = 0 AND b.g = 1)"
+)
+DIMS = 16
+
+
+def _vectors(s, d):
+    return table(s, d, "embeddings").withColumn("g", F.col("label") % 2)
 
 
 def _bins(s, d):
-    e = table(s, d, "embeddings").withColumn("g", F.col("label") % 2)
-    return A.histogram(e, F.col("embedding")[0].cast("double"), -1.0, 1.0, 10, "g")
+    """Histograms of the first ``DIMS`` dimensions, as many as the measure looks at."""
+    x = _vectors(s, d).select("g", F.posexplode(F.slice("embedding", 1, DIMS)).alias("dim", "x"))
+    return A.histogram(x, F.col("x").cast("double"), -1.0, 1.0, 10, ["g", "dim"])
 
 
-@query("SELECT g, bin, round(share, 6) AS share FROM h", HX)
-def a_hist(s, d):
-    return _bins(s, d).withColumn("share", F.round("share", 6))
+def _norm_bins(s, d):
+    return A.histogram(_vectors(s, d), VEC.norm(F.col("embedding")), 0.0, 64.0, 10, ["g"])
+
 
+def _psi(s, d):
+    return A.divergence(_bins(s, d), "g", 0, 1, ["dim"]).agg(F.avg("psi").alias("psi"))
 
-_DRIFT = "+ d AS (SELECT sum((b.share - a.share) * ln(b.share / a.share)) AS psi, sum(a.share * ln(a.share / b.share)) / 2 + sum(b.share * ln(b.share / a.share)) / 2 AS kl FROM h a JOIN h b ON a.bin = b.bin AND a.g = 0 AND b.g = 1)"
+
+def _kl(s, d):
+    return A.divergence(_norm_bins(s, d), "g", 0, 1, []).select("kl")
+
+
+@query("SELECT g, dim, bin, round(share, 6) AS share FROM h", HX)
+def a_hist(s, d):
+    return _bins(s, d).withColumn("share", F.round("share", 6))
 
 
-@query(_DRIFT + " SELECT round(psi, 6) AS psi FROM d", HX)
+@query("SELECT round(psi, 6) AS psi FROM q", HX)
 def a_psi(s, d):
-    return A.drift(_bins(s, d), "g", 0, 1).select(F.round("psi", 6).alias("psi"))
+    return _psi(s, d).select(F.round("psi", 6).alias("psi"))
 
 
-@query(_DRIFT + " SELECT round(kl, 6) AS kl FROM d", HX)
+@query("SELECT round(kl, 6) AS kl FROM k", HX)
 def a_kl(s, d):
-    return A.drift(_bins(s, d), "g", 0, 1).select(F.round("kl", 6).alias("kl"))
+    return _kl(s, d).select(F.round("kl", 6).alias("kl"))
 
 
-@query(_DRIFT + " SELECT CASE WHEN psi >= 0.2 THEN 'RebuildIndex' WHEN kl >= 0.15 THEN 'RetrainReranker' ELSE 'Observe' END AS action FROM d", HX)
+@query("SELECT (SELECT count(*) FROM e WHERE g = 1) AS n, round(shift, 6) AS shift, round(psi, 6) AS psi, round(kl, 6) AS kl, CASE WHEN (SELECT count(*) FROM e WHERE g = 1) < 8 THEN 'Observe' WHEN psi >= 0.2 OR shift >= 0.18 THEN 'RebuildIndex' WHEN kl >= 0.15 THEN 'RetrainReranker' ELSE 'Observe' END AS action FROM q, k, w", HX)
 def a_drift(s, d):
-    return A.drift(_bins(s, d), "g", 0, 1).select(A.drift_action(F.col("psi"), F.lit(0.0), F.col("kl"), F.lit(100)).alias("action"))
+    """Psi over the dimensions, KL divergence of the norms and shift of the centroids between two halves of the vectors: three tables of one row each."""
+    c = A.centroids(_vectors(s, d), "g", "embedding")
+    shift = c.filter("g = 0").select(F.col("centroid").alias("a")).crossJoin(c.filter("g = 1").select(F.col("centroid").alias("b"))).select(VEC.cosine_distance(F.col("a"), F.col("b")).alias("shift"))
+    n = _vectors(s, d).filter("g = 1").agg(F.count("*").alias("n"))
+    one = n.crossJoin(shift).crossJoin(_psi(s, d)).crossJoin(_kl(s, d))
+    return one.select("n", *[F.round(x, 6).alias(x) for x in ("shift", "psi", "kl")], A.drift_action(F.col("psi"), F.col("shift"), F.col("kl"), F.col("n")).alias("action"))
 
 
 @query("SELECT label, list_transform(list(m ORDER BY i), lambda x: round(x, 5)) AS centroid FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label", "")
@@ -234,11 +268,12 @@ def a_selfcons(s, d):
 
 @query("+ q AS (SELECT a.vec_id AS q, b.vec_id, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.vec_id) AS k FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT q, max(hit::INT) AS hit, round(avg(hit::INT), 6) AS share FROM q WHERE k <= 10 GROUP BY q", "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)")
 def a_recall(s, d):
-    """Label agreement of the ten nearest of every query row (id divisible by 50) among all rows; the query set of stated size is sent along in blocks."""
+    """Label agreement of the ten nearest of every query row (id divisible by 50) among all rows."""
     e = table(s, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    scored = e.join(F.broadcast(q), F.col("q") != F.col("vec_id")).select("q", "vec_id", (F.col("ql") == F.col("label")).cast("int").alias("hit"), F.round(V.cosine(F.col("qe"), F.col("embedding")), 6).alias("s"))
-    return per_group(scored, ["q"], [F.desc("s"), F.asc("vec_id")], 10).groupBy("q").agg(F.max("hit").alias("hit"), F.round(F.avg("hit"), 6).alias("share"))
+    near = R.nearest_in_blocks(q, e.select("vec_id", "label", "embedding"), "q", "qe", "vec_id", "embedding", 10, 6)
+    s10 = near.join(q.select("q", "ql"), "q").join(e.select("vec_id", "label"), "vec_id").withColumn("hit", (F.col("ql") == F.col("label")).cast("int"))
+    return s10.groupBy("q").agg(F.max("hit").alias("hit"), F.round(F.avg("hit"), 6).alias("share"))
 
 
 @query("+ t AS (SELECT scope, message, coalesce(lag(message) OVER (PARTITION BY scope ORDER BY committed_at, id) = message, false) AS again FROM cx) SELECT scope, count(*) AS n, count(*) FILTER (again) AS repeats, count(*) FILTER (trim(coalesce(message, '')) = '') AS empty FROM t GROUP BY scope", CX)

@@ -166,7 +166,9 @@ def ex_tree(s, d):
 
 @query("+ t AS (SELECT threat_type, substr(min(detected_by), 1, 6) AS p, count(*) AS n FROM antibodies WHERE detected_by IS NOT NULL GROUP BY threat_type HAVING count(*) >= 2) SELECT DISTINCT uri, 'Blocked' AS verdict FROM fx JOIN t ON contains(uri, p)")
 def im_memory(s, d):
-    t = table(s, d, "antibodies").filter("detected_by is not null").groupBy("threat_type").agg(F.substring(F.min("detected_by"), 1, 6).alias("p"), F.count("*").alias("n")).filter("n >= 2").limit(1000)
+    t = table(s, d, "antibodies").filter("detected_by is not null").groupBy("threat_type").agg(F.substring(F.min("detected_by"), 1, 6).alias("p"), F.count("*").alias("n")).filter("n >= 2")
+    if t.limit(1001).count() > 1000:
+        raise ValueError("over 1000 kinds of threats")
     return entries(s, d).join(F.broadcast(t), F.contains("uri", "p")).select("uri", F.lit("Blocked").alias("verdict")).distinct()
 
 
@@ -330,7 +332,7 @@ def mk_search(s, d):
 @query("+ t AS (SELECT DISTINCT vec_id AS t, e AS te FROM v WHERE vec_id % 50 = 0) SELECT uri, round(max(list_cosine_similarity(e, te)), 5) AS similarity, CASE WHEN round(max(list_cosine_similarity(e, te)), 5) >= 0.9 THEN 'Blocked' WHEN round(max(list_cosine_similarity(e, te)), 5) >= 0.75 THEN 'Suspicious' ELSE 'Clean' END AS verdict FROM v, t GROUP BY uri", VEC)
 def mk_immune(s, d):
     """Every vector against a stated set of threats: the rows whose id is divisible by 50."""
-    t = _v(s, d).filter("vec_id % 50 = 0").select(F.col("embedding").alias("threat"))
+    t = _v(s, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("threat"))
     return K.immune_verdict(_v(s, d), t).withColumn("similarity", F.round("similarity", 5))
 
 
@@ -340,15 +342,6 @@ def mk_fork(s, d):
     return t.select("tenant", F.when(F.col("share") >= 0.3, F.concat_ws(":", "tenant", "top")).otherwise(F.col("tenant")).alias("community"))
 
 
-@query(f"+ p AS (SELECT a.uri AS a, b.uri AS b, a.quality AS qa, b.quality AS qb, a.mvcc_version AS ea, b.mvcc_version AS eb FROM fx a JOIN fx b ON a.tenant = b.tenant AND a.content_type = b.content_type AND a.agent = b.agent AND a.uri < b.uri) SELECT a, b, CASE WHEN ea > eb AND qa > qb THEN 'KeepFirst' WHEN eb > ea AND qb > qa THEN 'KeepSecond' ELSE 'Defer' END AS verdict FROM p")
-def mk_arbitrate(s, d):
-    e = entries(s, d).select("tenant", "content_type", "agent", "uri", "quality", "mvcc_version")
-    on = ["tenant", "content_type", "agent"]
-    a = e.select(*on, F.col("uri").alias("a"), F.col("quality").alias("qa"), F.col("mvcc_version").alias("ea"))
-    b = e.select(*on, F.col("uri").alias("b"), F.col("quality").alias("qb"), F.col("mvcc_version").alias("eb"))
-    return a.join(b, on).filter("a < b").select("a", "b", K.resolve_conflict(F.col("qa"), F.col("qb"), F.col("ea"), F.col("eb")).alias("verdict"))
-
-
 @query()
 def mk_share(s, d):
     return entries(s, d).select("uri", K.shares(F.col("mvcc_version"), 3).alias("shares"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import folds as D
 from ..operators import market as K
 from ..tables import table
 from . import problems
-from .fixtures import Catalog, entries
+from .fixtures import CLX, Catalog, claims, entries, now
+from .q_scalars import claims_sql, contra_sql
 
 query = Catalog()
 NONE = "z AS (SELECT 1)"
@@ -92,17 +92,39 @@ def g_phylogeny(s, d):
 
 
 query.queries["ln_tree"], query.oracles["ln_tree"] = g_phylogeny, query.oracles["g_phylogeny"]
-_X = lambda c: f"' ' || lower({c}) || ' '"
-_MARK = " OR ".join(f"(contains({_X('a.l0')}, '{p}') AND NOT contains({_X('a.l0')}, '{q}') AND contains({_X('b.l0')}, '{q}')) OR (contains({_X('a.l0')}, '{q}') AND contains({_X('b.l0')}, '{p}') AND NOT contains({_X('b.l0')}, '{q}'))" for p, q in T.OPPOSITES)
+_WS = "list_distinct(list_filter(regexp_split_to_array(lower(l0), '\\s+'), lambda x: x <> ''))"
+_PAIRS = "len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))"
+_CONFLICTS = f"cw AS (SELECT *, {_WS} AS w FROM cl), cp AS (SELECT a.uri AS a, b.uri AS b, {_PAIRS} AS s, a.quality AS qa, b.quality AS qb, a.mvcc_version AS ea, b.mvcc_version AS eb FROM cw a JOIN cw b ON a.tenant = b.tenant AND a.content_type = b.content_type AND a.uri < b.uri AND {contra_sql('a.l0', 'b.l0')})"
 
 
-@query(f"+ w AS (SELECT uri, tenant, content_type, l0, list_distinct(list_filter(regexp_split_to_array(lower(l0), '\\s+'), lambda x: x <> '')) AS w FROM fx), p AS (SELECT a.uri AS a, b.uri AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS s FROM w a JOIN w b ON a.tenant = b.tenant AND a.content_type = b.content_type AND a.uri < b.uri WHERE ({_MARK}) AND len(list_filter(list_intersect(a.w, b.w), lambda x: length(x) >= 5)) > 0) SELECT a, b, CASE WHEN s > 0.6 THEN 'Direct' ELSE 'Overlapping' END AS kind FROM p WHERE s > 0.4 AND s <= 0.8")
+@query("SELECT a, b, round(s, 6) AS similarity, CASE WHEN s > 0.6 THEN 'Direct' ELSE 'Overlapping' END AS kind FROM cp WHERE s > 0.4 AND s <= 0.8", f"{CLX}, {_CONFLICTS}")
 def mk_conflict(s, d):
-    return K.text_conflicts(entries(s, d), ["tenant", "content_type"])
+    return K.text_conflicts(claims(s, d), ["tenant", "content_type"]).withColumn("similarity", F.round("similarity", 6))
 
 
-for _n in ("join_self_conflict", "h_guard"):
-    query.queries[_n], query.oracles[_n] = mk_conflict, query.oracles["mk_conflict"]
+query.queries["join_self_conflict"], query.oracles["join_self_conflict"] = mk_conflict, query.oracles["mk_conflict"]
+
+
+@query("SELECT a, b, CASE WHEN ea > eb AND qa > qb THEN 'KeepFirst' WHEN eb > ea AND qb > qa THEN 'KeepSecond' ELSE 'Defer' END AS verdict FROM cp WHERE s > 0.4 AND s <= 0.8", f"{CLX}, {_CONFLICTS}")
+def mk_arbitrate(s, d):
+    """Verdict on every conflict; the version stands for the strength of evidence."""
+    c = claims(s, d).select("uri", "quality", F.col("mvcc_version").alias("e"))
+    p = K.text_conflicts(claims(s, d), ["tenant", "content_type"])
+    p = p.join(c.select(F.col("uri").alias("a"), F.col("quality").alias("qa"), F.col("e").alias("ea")), "a").join(c.select(F.col("uri").alias("b"), F.col("quality").alias("qb"), F.col("e").alias("eb")), "b")
+    return p.select("a", "b", K.resolve_conflict(F.col("qa"), F.col("qb"), F.col("ea"), F.col("eb")).alias("verdict"))
+
+
+_TERMS = "list_distinct(list_filter(regexp_split_to_array(lower(l0), '[^\\p{L}\\p{N}_-]+'), lambda x: strlen(x) >= 3))"
+
+
+@query(
+    f"+ cw AS (SELECT *, {_TERMS} AS w, coalesce(quality, 0.5) AS q FROM cl WHERE content_type IN ('fact', 'belief', 'hypothesis') AND coalesce(valid_until > TIMESTAMP '2025-01-01', true)),"
+    f" p AS (SELECT a.uri AS a, b.uri AS b, {_PAIRS} AS s, abs(a.q - b.q) AS delta, coalesce(list_has_any(a.evidence, b.evidence), false) AS same FROM cw a JOIN cw b ON a.content_type = b.content_type AND a.uri < b.uri AND {claims_sql('a.l0', 'b.l0')})"
+    " SELECT a, b, round(s, 6) AS overlap, CASE WHEN round(delta, 9) >= 0.18 THEN 'InvalidateWeaker' WHEN same THEN 'RevalidateBoth' ELSE 'KeepBothContextual' END AS action, round(least(1.0, 0.6 * s + 0.4 * delta), 6) AS priority FROM p WHERE s >= 0.36",
+    CLX,
+)
+def h_guard(s, d):
+    return K.guard_plan(claims(s, d), now()).withColumns({c: F.round(c, 6) for c in ("overlap", "priority")})
 
 
 QUERIES, ORACLES = query.queries, query.oracles

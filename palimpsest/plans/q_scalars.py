@@ -44,8 +44,7 @@ def _t(c, n=2, keep=""):
 
 _text("f_terms", lambda: F.array_sort(T.terms(F.col("l0"))), f"list_sort({_t('l0')})")
 _text("f_tokens3", lambda: F.array_sort(T.terms(F.col("l0"), 3, "_-")), f"list_sort({_t('l0', 3, '_-')})")
-_stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_text("f_important", lambda: T.important_terms(F.col("l0"), 4), f"list_sort(list_filter({_t('l0', 3)}, lambda x: x NOT IN ({_stop})))[1:4]")
+_text("f_important", lambda: T.important_terms(F.col("l0"), 4), f"list_sort(list_filter({_t('l0', 3, '_-')}, lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'what', 'when', 'where', 'how', 'why', '一个', '这个', '那个', '什么', '如何', '怎么', '以及', '或者')))[1:4]")
 _text("f_tok_dedup", lambda: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("l0"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))), "list_sort(list_distinct(regexp_extract_all(lower(l0), '[\\p{L}\\p{N}]+')))")
 _pair_text("f_overlap", lambda a, b: F.round(T.overlap(T.terms(a), T.terms(b)), 6), f"round(CASE WHEN len({_t('l0')}) > 0 THEN len(list_intersect({_t('l0')}, {_t('l1')})) / len({_t('l0')}) ELSE 0.0 END, 6)")
 _pair_text("f_coverage", lambda a, b: F.round(T.overlap(T.terms(a, 3, "_-"), T.terms(b, 3, "_-")), 6), f"round(CASE WHEN len({_t('l0', 3, '_-')}) > 0 THEN len(list_intersect({_t('l0', 3, '_-')}, {_t('l1', 3, '_-')})) / len({_t('l0', 3, '_-')}) ELSE 0.0 END, 6)")
@@ -55,18 +54,67 @@ _pair_text("f_jaccard", lambda a, b: F.round(T.jaccard(T.terms(a), T.terms(b)),
 _pair_text("f_jaccard_ws", lambda a, b: F.round(T.jaccard(T.words(a), T.words(b)), 6), _jac(_ws("l0"), _ws("l1")))
 
 
-def _contra(a, b):
-    x, y = f"' ' || lower({a}) || ' '", f"' ' || lower({b}) || ' '"
-    return "(" + " OR ".join(f"(contains({x}, '{p}') AND NOT contains({x}, '{q}') AND contains({y}, '{q}')) OR (contains({x}, '{q}') AND contains({y}, '{p}') AND NOT contains({y}, '{q}'))" for p, q in T.OPPOSITES) + ")"
+_SIDES = "list_contains(list_transform([{pairs}], lambda p: (contains({x}, p[1]) AND contains({y}, p[2])) OR (contains({x}, p[2]) AND contains({y}, p[1]))), true)"
+_TEN = "[' enabled ', ' disabled '], [' allow ', ' deny '], [' true ', ' false '], [' required ', ' optional '], [' must ', ' must not '], [' should ', ' should not '], [' can ', ' cannot '], ['支持', '不支持'], ['允许', '禁止'], ['必须', '不能']"
+_TWELVE = "[' enabled', ' disabled'], [' allow', ' deny'], [' allowed', ' forbidden'], [' true', ' false'], [' required', ' optional'], [' must ', ' must not '], [' should ', ' should not '], [' can ', ' cannot '], [' is ', ' is not '], ['支持', '不支持'], ['允许', '禁止'], ['必须', '不能']"
 
 
-_pair_text("f_contra", lambda a, b: T.contradicts(a, b), _contra("l0", "l1"))
+def contra_sql(a: str, b: str) -> str:
+    return _SIDES.format(pairs=_TEN, x=f"(' ' || lower({a}) || ' ')", y=f"(' ' || lower({b}) || ' ')")
+
+
+def claims_sql(a: str, b: str) -> str:
+    return _SIDES.format(pairs=_TWELVE, x=f"lower({a})", y=f"lower({b})")
+
+
+_pair_text("f_contra", lambda a, b: T.contradicts(a, b), contra_sql("l0", "l1"))
+_pair_text("f_contra12", lambda a, b: T.claims_contradict(a, b), claims_sql("l0", "l1"))
 _text("f_repeat", lambda: F.round(T.repeated_ratio(F.col("l0")), 6), f"round(CASE WHEN len(list_filter(regexp_split_to_array(lower(l0), '\\s+'), lambda x: x <> '')) > 0 THEN 1 - len({_ws('l0')}) / len(list_filter(regexp_split_to_array(lower(l0), '\\s+'), lambda x: x <> '')) ELSE 0.0 END, 6)")
-_text("f_kv", lambda: F.element_at(T.key_values(F.concat(F.lit("a: 1; b= 2, a :"), F.col("mvcc_version"), F.lit("\nc"))), "a"), "mvcc_version || ''")
-_text("f_redact", lambda: T.redact(F.concat(F.lit("mail "), F.col("agent"), F.lit("@x.org key ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("mvcc_version"))), "'mail [redacted:email] key [redacted:secret]'")
-_text("f_sensitive", lambda: F.regexp_count(F.concat("agent", F.lit("@x.org b@y.com")), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")), "2")
-_text("f_email", lambda: F.concat("agent", F.lit("@x.org")).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), "true")
-_text("f_inject", lambda: T.blocked(F.when(F.col("mvcc_version") % 2 == 0, F.concat("l0", F.lit(" Ignore previous instructions"))).otherwise(F.col("l1"))), "CASE WHEN mvcc_version % 2 = 0 THEN 'injection' WHEN trim(coalesce(l1, '')) = '' THEN 'empty' ELSE 'clean' END")
+_KV = "regexp_extract_all(l2, '[^,;\\n]+')"
+_text(
+    "f_kv",
+    lambda: F.array_sort(F.map_keys(T.key_values(F.col("l2")))),
+    f"list_sort(list_distinct(list_filter(list_transform(list_filter({_KV}, lambda p: regexp_matches(p, '[:=]')), lambda p: trim(regexp_split_to_array(p, '[:=]')[1])), lambda k: k <> '')))",
+)
+_EDGE = r"regexp_replace({t}, '^[!-/:-@\[-`{{-~]+|[!-/:-@\[-`{{-~]+$', '', 'g')"
+_MAIL = "(instr({b}, '@') > 1 AND contains(substr({b}, instr({b}, '@') + 1), '.') AND strlen(substr({b}, instr({b}, '@') + 1)) >= 3)"
+_KEY = "(starts_with(lower({b}), 'sk-') OR starts_with(lower({b}), 'pk-') OR starts_with(lower({b}), 'ghp_') OR starts_with(lower({b}), 'github_pat_') OR regexp_full_match({b}, '[A-Za-z0-9_-]{{24,}}'))"
+_LONG = "(regexp_full_match({b}, '[-0-9+() ]+') AND length(regexp_replace({b}, '[^0-9]', '', 'g')) >= 11)"
+_bare = lambda test, t: test.format(b=_EDGE.format(t=t))
+_ONE = f"CASE WHEN {_bare(_MAIL, 't')} THEN replace(t, {_EDGE.format(t='t')}, '[REDACTED_EMAIL]') WHEN {_bare(_KEY, 't')} THEN replace(t, {_EDGE.format(t='t')}, '[REDACTED_SECRET]') WHEN {_bare(_LONG, 't')} THEN replace(t, {_EDGE.format(t='t')}, '[REDACTED_ID]') ELSE t END"
+_VOTED = "mv AS (SELECT delivery_id, concat_ws(' ', voter, '<' || replay_id || '>', evidence, CASE WHEN op = 'Upvote' THEN voter || '@' || replace(batch_id, '-', '.') || '.' END, '+' || (10000000000 + delivery_id)) AS m FROM vote_payloads), mt AS (SELECT *, list_filter(regexp_split_to_array(m, '\\s+'), lambda x: x <> '') AS ts FROM mv)"
+
+
+def _messages(s, d):
+    """Votes as messages, with the voter's address in upvotes and the number of the delivery as a phone number."""
+    mail = F.when(F.col("op") == "Upvote", F.concat("voter", F.lit("@"), F.replace("batch_id", F.lit("-"), F.lit(".")), F.lit(".")))
+    return table(s, d, "vote_payloads").select("delivery_id", F.concat_ws(" ", "voter", F.concat(F.lit("<"), "replay_id", F.lit(">")), "evidence", mail, F.concat(F.lit("+"), (F.col("delivery_id") + 10_000_000_000).cast("string"))).alias("m"))
+
+
+@query(f"SELECT delivery_id, array_to_string(list_transform(ts, lambda t: {_ONE}), ' ') AS r FROM mt", _VOTED)
+def f_redact(s, d):
+    return _messages(s, d).select("delivery_id", T.redact(F.col("m")).alias("r"))
+
+
+@query(f"SELECT delivery_id, len(list_filter(ts, lambda t: {_bare(_MAIL, 't')}))::INT AS email, len(list_filter(ts, lambda t: {_bare(_KEY, 't')} AND NOT {_bare(_MAIL, 't')}))::INT AS api_key, len(list_filter(ts, lambda t: {_bare(_LONG, 't')} AND NOT {_bare(_KEY, 't')} AND NOT {_bare(_MAIL, 't')}))::INT AS long_id, 0 AS private_key FROM mt", _VOTED)
+def f_sensitive(s, d):
+    m = _messages(s, d)
+    return m.select("delivery_id", *[c.alias(n) for n, c in T.sensitive_counts(F.col("m")).items()])
+
+
+@query(f"SELECT delivery_id, {_bare(_MAIL, 'replay_id')} AS email, {_bare(_KEY, 'replay_id')} AS api_key, {_bare(_LONG, 'replay_id')} AS long_id FROM vote_payloads", "")
+def f_email(s, d):
+    bare = F.regexp_replace("replay_id", T.EDGE, "")
+    return table(s, d, "vote_payloads").select("delivery_id", T.is_email(bare).alias("email"), T.is_key(bare).alias("api_key"), T.is_long_id(bare).alias("long_id"))
+
+
+@query(f"SELECT uri, CASE WHEN contains(lower(x), 'ignore previous instructions') OR contains(lower(x), 'system prompt:') OR contains(lower(x), '<|im_start|>') THEN 'injection' WHEN trim(coalesce(x, '')) = '' THEN 'empty' WHEN len(list_filter(regexp_split_to_array(x, '\\s+'), lambda t: {_bare(_MAIL, 't')} OR {_bare(_KEY, 't')} OR {_bare(_LONG, 't')})) > 0 THEN 'sensitive' ELSE 'clean' END AS r FROM (SELECT uri, CASE WHEN mvcc_version % 2 = 0 THEN l0 || ' Ignore previous Instructions' WHEN mvcc_version % 7 = 1 THEN l0 || ' ' || uri ELSE l1 END AS x FROM fx)")
+def f_inject(s, d):
+    v = F.col("mvcc_version")
+    x = F.when(v % 2 == 0, F.concat("l0", F.lit(" Ignore previous Instructions"))).when(v % 7 == 1, F.concat_ws(" ", "l0", "uri")).otherwise(F.col("l1"))
+    return entries(s, d).select("uri", T.blocked(x).alias("r"))
+
+
 _text("f_sanitize", lambda: T.sanitize_segment(F.substring("l0", 1, 30)), "CASE WHEN regexp_replace(regexp_replace(lower(trim(substr(l0, 1, 30))), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') = '' THEN 'unknown' ELSE regexp_replace(regexp_replace(lower(trim(substr(l0, 1, 30))), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') END")
 _text("f_slug", lambda: T.slug(F.col("l0")), "substr(regexp_replace(regexp_replace(lower(l0), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48)")
 _text("f_tokens", lambda: T.approx_tokens(F.col("l2"), 1), "greatest(1, ceil(length(coalesce(l2, '')) / 4)::BIGINT)")
