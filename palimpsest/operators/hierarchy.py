@@ -1,7 +1,7 @@
 """Trees out of child-parent links: paths, depths, roots, descendants, and circles.
 
-Nodes lie in blocks: ranges in the order of history (connected component), time
-and node, small enough for one task. In every round each block peels its leaves
+Nodes lie in blocks: ranges in the order of history (connected component, as far
+as a few rounds of contraction tell), time and node, small enough for one task. In every round each block peels its leaves
 bottom up, as far as it gets by itself, and draws together what is left: a node
 with one way in and one way out gives way to a longer link. So of a history cut
 by blocks little but its crossings stays, and neighbouring blocks are merged for
@@ -32,9 +32,12 @@ def _blocks(links: DataFrame, block_links: int | None) -> tuple[DataFrame, int]:
     n = links.count()
     per = block_links or min(BLOCK_LINKS, max(LEAST_LINKS, n // (2 * links.sparkSession.sparkContext.defaultParallelism)))
     blocks = max(1, -(-n // per))
-    comp = connected_components(links, "child", "parent")
-    born = links.groupBy(F.col("child").alias("node")).agg(F.min("seen_at").alias("at"))
-    placed = comp.join(born, "node", "left").repartitionByRange(blocks, "component", "at", "node")
+    # numbers for names: two names with one number would only lie in one history
+    numbered = links.select(F.xxhash64("child").alias("a"), F.xxhash64("parent").alias("b"))
+    comp = connected_components(numbered, max_rounds=4, settle=False).select(F.col("node").alias("number"), "component")
+    ends = links.select(F.col("child").alias("node"), "seen_at").unionByName(links.select(F.col("parent").alias("node"), F.lit(None).cast("timestamp_ntz").alias("seen_at")))
+    nodes = ends.groupBy("node").agg(F.min("seen_at").alias("at")).withColumn("number", F.xxhash64("node"))
+    placed = nodes.join(comp, "number").repartitionByRange(blocks, "component", "at", "node")
     return keep(placed.select("node", F.spark_partition_id().alias("block")), "blocks"), blocks
 
 
