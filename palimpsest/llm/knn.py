@@ -122,7 +122,8 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int | None =
     shard is searched. Similarities of what is found are exact (double
     precision), and a pair found from one end counts for both ends.
 
-    Result: set, key, other, similarity, rank (1 to k; ties by key). Empty input, no rows.
+    Result: set, key, other, similarity, rank (1 to k; equal vectors by key, different
+    vectors of the very same similarity by a hash). Empty input, no rows.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("set"), F.col("key").cast("string").alias("key"), usable(F.col("vec"), dim).alias("vec")).filter("`set` is not null and key is not null and vec is not null")

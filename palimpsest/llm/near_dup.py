@@ -37,7 +37,8 @@ BUFFER = 65_536
 CHUNK = 16_384
 SMALLEST, LARGEST = 256, 4096
 COPIES_IN_FULL = 50
-WORDS = r"[\\p{L}\\p{N}]+"
+POSTINGS = 32_768
+WORDS_AT_ONCE = 400_000
 
 
 @dataclass(frozen=True)
@@ -70,20 +71,20 @@ def word_counts(classes: DataFrame, n_classes: int) -> tuple[np.ndarray, int]:
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total = np.zeros(1 << bits, np.int64)
         for b in batches:
-            words = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(_bucket(words, bits), minlength=1 << bits).astype(np.uint32)
-        if total.any():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())})
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.uint32)
-        for c in rows["counts"]:
-            total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "codes": [_count_code(total).tobytes()]})
-
-    parts = classes.select("words").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, codes binary").collect()
+            total += np.bincount(_bucket(b.column(0).flatten().to_numpy(zero_copy_only=False), bits), minlength=1 << bits)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "n": pa.array(total[some])})
+
+    def code(rows: pd.DataFrame) -> pd.DataFrame:
+        # at most ``width`` rows, whatever the number of tasks that counted
+        total = np.zeros(width, np.int64)
+        total[rows["bucket"].to_numpy() % width] = rows["n"]
+        return pd.DataFrame({"slice": [int(rows["bucket"].iloc[0]) // width], "codes": [_count_code(total).tobytes()]})
+
+    sums = classes.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    parts = sums.groupBy(F.floor(F.col("bucket") / width).alias("part")).applyInPandas(code, "slice int, codes binary").collect()
     codes = np.zeros(1 << bits, np.uint8)
     for p in parts:
         codes[p["slice"] * width : (p["slice"] + 1) * width] = np.frombuffer(p["codes"], np.uint8)
@@ -102,7 +103,7 @@ def _sketches(words: np.ndarray, doc: np.ndarray, n_docs: int, bits: int) -> np.
 def _postings(classes: DataFrame, codes: np.ndarray, bits: int, t: float) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(codes.tobytes())
 
-    def post(cid: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    def post(cid: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
         n_docs = len(cid)
         doc = np.repeat(np.arange(n_docs), sizes)
@@ -127,32 +128,39 @@ def _postings(classes: DataFrame, codes: np.ndarray, bits: int, t: float) -> Dat
             sketch = _sketches(words[of], new[doc[of]], int(mine.sum()), SMALLEST * 4**k)
             here = mine[d]
             rows.append((w[here], np.full(here.sum(), k), d[here], c[here], sketch[new[d[here]]]))
-        out = {x: [] for x in ("word", "kind", "lo", "hi", "n", "part", "cid")}
-        blobs = []
         for w_, k_, d_, c_, s_ in rows:
             # a hot word is cut into parts by document; every two parts meet in a group of their own
             parts = np.maximum(1, np.ceil(np.exp2((c_.astype(np.float64) - 1) / 8) / HOT_WORD)).astype(np.int64)
             part = (cid[d_].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
-            again = np.repeat(np.arange(len(w_)), parts)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mine = part[again]
-            for name, v in (("word", w_[again]), ("kind", k_[again]), ("lo", np.minimum(mine, other)), ("hi", np.maximum(mine, other)), ("n", sizes[d_][again]), ("part", mine), ("cid", cid[d_][again])):
-                out[name].append(v)
-            s = np.ascontiguousarray(s_[again])
-            width = s.shape[1]
-            blobs.append(pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.arange(0, (len(s) + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(s.tobytes())]))
-        kinds = {"word": pa.int64(), "cid": pa.int64()}
-        cols = {name: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), kinds.get(name, pa.int64())).cast(kinds.get(name, pa.int32())) for name, v in out.items()}
-        cols["sketch"] = pa.concat_arrays(blobs) if blobs else pa.array([], pa.binary())
-        return pa.RecordBatch.from_pydict(cols)
+            ends = np.cumsum(parts)
+            at = 0
+            while at < len(w_):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS, "right")))
+                n = parts[at:stop]
+                again = np.repeat(np.arange(at, stop), n)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+                at = stop
+                mine = part[again]
+                sketch = np.ascontiguousarray(s_[again])
+                width = sketch.shape[1]
+                cols = {
+                    "word": pa.array(w_[again], pa.int64()),
+                    **{name: pa.array(v.astype(np.int32)) for name, v in (("kind", k_[again]), ("lo", np.minimum(mine, other)), ("hi", np.maximum(mine, other)), ("n", sizes[d_][again]), ("part", mine))},
+                    "cid": pa.array(cid[d_][again], pa.int64()),
+                    "sketch": pa.Array.from_buffers(pa.binary(), len(again), [None, pa.py_buffer((np.arange(len(again) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(sketch.tobytes())]),
+                }
+                yield pa.RecordBatch.from_pydict(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            ends = np.cumsum(np.diff(whole.column(1).offsets.to_numpy()).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS_AT_ONCE, "right")))
+                b = whole.slice(at, stop - at)
+                at = stop
                 lists = b.column(1)
-                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                yield post(b.column(0).to_numpy(), np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)), sizes)
+                yield from post(b.column(0).to_numpy(), np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)), np.diff(lists.offsets.to_numpy()).astype(np.int64))
 
     return classes.select("cid", "words").mapInArrow(run, _POST)
 
@@ -298,6 +306,19 @@ def _candidates(postings: DataFrame, t: float) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and one set of words a class. Different sets that hash alike are hashed again, so a class is a set."""
+    seed = 0
+    while True:
+        rows = keep(rows, "words")
+        classes = keep(rows.groupBy(F.col("class_id").alias("cid")).agg(F.min("words").alias("words"), F.max("words").alias("last")).select("cid", "words", (F.col("words") != F.col("last")).alias("clash")), "classes")
+        clash = classes.filter("clash").select(F.col("cid").alias("class_id"), "clash")
+        if clash.isEmpty():
+            return rows, classes.select("cid", "words")
+        seed += 1
+        rows = rows.join(clash, "class_id", "left").select("id", "words", "text_id", F.when(F.col("clash"), F.xxhash64(F.lit(seed), "words")).otherwise(F.col("class_id")).alias("class_id"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float = 0.8) -> NearDuplicates:
     """Classes of equal word sets, and all pairs of classes with a similarity of ``threshold`` or more.
 
@@ -305,10 +326,9 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     meet in a task of their own. Null, blank and word-less texts belong to no class. Repeated rows of one
     id make one member per distinct text. Texts are read whole.
     """
-    rows = df.select(F.col(id_col).alias("id"), word_set(text).alias("words"), F.xxhash64(text).alias("text_id")).filter(F.col("id").isNotNull() & (F.size("words") > 0)).withColumn("class_id", F.xxhash64("words"))
-    rows = keep(rows, "words")
+    rows = df.select(F.col(id_col).alias("id"), word_set(text).alias("words"), F.md5(text).alias("text_id")).filter(F.col("id").isNotNull() & (F.size("words") > 0)).withColumn("class_id", F.xxhash64("words"))
+    rows, classes = _classes(rows)
     members = rows.select("id", "class_id").distinct()
-    classes = keep(rows.groupBy(F.col("class_id").alias("cid")).agg(F.first("words").alias("words")), "classes")
     codes, bits = word_counts(classes, classes.count())
     found = keep(_candidates(_postings(classes, codes, bits, threshold), threshold), "candidates")
     ids = found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).distinct()
@@ -336,8 +356,11 @@ def document_pairs(found: NearDuplicates) -> DataFrame:
 
 
 def duplicate_groups(found: NearDuplicates) -> DataFrame:
-    """One row per id and text class: id, class_id, group_id (connected classes), n_links (similar other classes), n_copies."""
-    comp = connected_components(found.pairs, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    """One row per id and text class: id, class_id and group_id (smallest id of the class and of its connected classes), n_links (similar other classes), n_copies."""
+    comp = connected_components(found.pairs, "a", "b").select(F.col("node").alias("class_id"), "component")
     links = found.pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    copies = found.members.groupBy("class_id").agg(F.count("*").alias("n_copies"))
-    return found.members.join(copies, "class_id").join(comp, "class_id", "left").join(links, "class_id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    classes = found.members.groupBy("class_id").agg(F.count("*").alias("n_copies"), F.min("id").alias("head"))
+    classes = classes.join(comp, "class_id", "left").join(links, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    groups = classes.groupBy("component").agg(F.min("head").alias("group_id"))
+    each = classes.join(groups, "component").select("class_id", "head", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return found.members.join(each, "class_id").select("id", F.col("head").alias("class_id"), "group_id", "n_links", "n_copies")

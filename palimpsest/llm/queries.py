@@ -126,4 +126,12 @@ ORACLES = {
  WITH s AS (SELECT DISTINCT uri, {_WORDS} AS w FROM context_entries WHERE uri IS NOT NULL),
  p AS (SELECT a.uri AS x, b.uri AS y, len(a.w) AS m, len(b.w) AS n, len(list_intersect(a.w, b.w)) AS k FROM s a JOIN s b ON a.uri < b.uri AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w))
  SELECT DISTINCT x AS uri_a, y AS uri_b FROM p WHERE k > 0 AND 10 * k >= 7 * (m + n - k)""",
+    "p1_groups": f"""
+ WITH RECURSIVE s AS (SELECT DISTINCT uri, list_sort({_WORDS}) AS w FROM context_entries WHERE uri IS NOT NULL),
+ c AS (SELECT w, min(uri) AS h, count(*) AS n FROM s WHERE len(w) > 0 GROUP BY w),
+ p AS (SELECT a.h AS x, b.h AS y, len(a.w) AS m, len(b.w) AS n, len(list_intersect(a.w, b.w)) AS k FROM c a JOIN c b ON a.w <> b.w AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)),
+ l AS (SELECT x, y FROM p WHERE k > 0 AND 10 * k >= 7 * (m + n - k)),
+ r(x, y) AS (SELECT h, h FROM c UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+ g AS (SELECT x, min(y) AS g FROM r GROUP BY x)
+ SELECT s.uri, c.h AS class_id, g.g AS group_id, (SELECT count(*) FROM l WHERE l.x = c.h) AS n_links, c.n AS n_copies FROM s JOIN c ON c.w = s.w JOIN g ON g.x = c.h""",
 }

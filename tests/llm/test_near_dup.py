@@ -54,6 +54,24 @@ def test_hot_words_are_cut_up(spark, monkeypatch):
     assert pairs(spark, rows, 0.7) == brute(rows, 0.7)
 
 
+def test_many_tasks_and_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "POSTINGS", 5)
+    monkeypatch.setattr(near_dup, "WORDS_AT_ONCE", 50)
+    rows = corpus(3)
+    sets = spark.createDataFrame([(i, sorted({hash(w) for w in x.split()})) for i, (_, x) in enumerate(rows)], "cid long, words array<long>")
+    codes, bits = near_dup.word_counts(sets.repartition(300), len(rows))
+    once, _ = near_dup.word_counts(sets.coalesce(1), len(rows))
+    assert (codes == once).all() and codes.max() > 1 and len(codes) == 1 << bits
+    assert pairs(spark, rows, 0.7) == brute(rows, 0.7)
+
+
+def test_sets_whose_hashes_clash(spark, monkeypatch):
+    rows = [("a", "one two three four"), ("b", "four three two one"), ("c", "six seven"), ("d", "one two three four five")]
+    plain = F.xxhash64
+    monkeypatch.setattr(near_dup.F, "xxhash64", lambda *c: F.lit(5).cast("long") if isinstance(c[0], str) and c[0] == "words" else plain(*c))
+    assert pairs(spark, rows, 0.7) == brute(rows, 0.7)
+
+
 def test_nulls_blanks_repeats_and_long_texts(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [("a", None), ("b", ""), ("c", " .,"), (None, "one two"), ("d", "one two"), ("d", "one two"), ("e", "TWO, one!"), ("f", long), ("g", long + " more"), ("h", "Élan élan"), ("i", "élan")]
