@@ -23,15 +23,14 @@ def distinct_changes(feed: DataFrame, scope: str, seq: str, arrival: str) -> Dat
     return first.select(scope, seq, *[F.col("first")[c].alias(c) for c in rest])
 
 
-def key_events(changes: DataFrame, scope: str, seq: str, key: str, op: str, payload: str, moved_from: str, ref: str) -> DataFrame:
-    """What each change does to which key: scope, key, seq, kind, ref, source.
+def key_events(changes: DataFrame) -> DataFrame:
+    """What each change (scope, seq, key, op, full, source, ref) does to which key: scope, key, seq, kind, ref, source, value_seq.
 
     ``set`` puts a value, ``gone`` leaves a tombstone, ``in`` takes over the
     value of ``source``. A rename is a tombstone at its source and ``in`` at its
     target. Unknown ops, sets without payload, renames onto themselves or
     without source, and changes without key change nothing.
     """
-    c = changes.select(F.col(scope).alias("scope"), F.col(seq).alias("seq"), F.col(key).alias("key"), F.col(op).alias("op"), F.col(payload).isNotNull().alias("full"), F.col(moved_from).alias("source"), F.col(ref).alias("ref"))
     one = lambda k, kind, source: F.struct(k.alias("key"), F.lit(kind).alias("kind"), source.cast("string").alias("source"))
     none = F.lit(None)
     key_, source = F.col("key"), F.col("source")
@@ -40,7 +39,13 @@ def key_events(changes: DataFrame, scope: str, seq: str, key: str, op: str, payl
         .when(F.col("op") == "delete", F.array(one(key_, GONE, none)))
         .when((F.col("op") == "rename") & (source != key_), F.array(one(key_, MOVED_IN, source), one(source, GONE, none)))
     )
-    return c.filter(key_.isNotNull()).select("scope", "seq", "ref", F.explode(does).alias("e")).select("scope", F.col("e.key").alias("key"), "seq", F.col("e.kind").alias("kind"), "ref", F.col("e.source").alias("source"))
+    return changes.filter(key_.isNotNull()).select("scope", "seq", "ref", F.explode(does).alias("e")).select("scope", F.col("e.key").alias("key"), "seq", F.col("e.kind").alias("kind"), "ref", F.col("e.source").alias("source"), F.col("seq").alias("value_seq"))
+
+
+def base_events(base: DataFrame) -> DataFrame:
+    """Rows of an earlier state as events at their last change: a value, or a tombstone."""
+    kind = F.when(F.col("present"), SET).otherwise(GONE)
+    return base.select("scope", "key", F.col("last_seq").alias("seq"), kind.alias("kind"), F.col("value_ref").alias("ref"), F.lit(None).cast("string").alias("source"), "value_seq")
 
 
 def _before(events: DataFrame) -> DataFrame:
@@ -51,17 +56,17 @@ def _before(events: DataFrame) -> DataFrame:
     changes; the last event of each segment is handed on to the next.
     """
     e = events.withColumn("segment", F.floor(F.col("seq") / SEGMENT))
-    what = F.struct("seq", "kind", "ref")
-    inside = e.withColumn("prev", F.lag(what).over(W.partitionBy("scope", "key", "segment").orderBy("seq")))
-    lasts = e.groupBy("scope", "key", "segment").agg(F.max_by(what, "seq").alias("last"))
+    what = F.struct("seq", "kind", "ref", "value_seq")
+    inside = e.withColumn("prev", F.lag(what).over(W.partitionBy("scope", "key", "segment").orderBy("seq", "kind")))
+    lasts = e.groupBy("scope", "key", "segment").agg(F.max(what).alias("last"))
     handed = lasts.withColumn("handed", F.lag("last").over(W.partitionBy("scope", "key").orderBy("segment"))).filter(F.col("handed").isNotNull())
     same = [F.col("i.scope").eqNullSafe(F.col("h.scope")), F.col("i.key") == F.col("h.key"), F.col("i.segment") == F.col("h.segment")]
-    return inside.alias("i").join(handed.alias("h"), same, "left").select("i.scope", "i.key", "i.seq", "i.kind", "i.ref", "i.source", F.coalesce("i.prev", "h.handed").alias("prev"))
+    return inside.alias("i").join(handed.alias("h"), same, "left").select("i.scope", "i.key", "i.seq", "i.kind", F.coalesce("i.prev", "h.handed").alias("prev"))
 
 
 def _cut(options: Column) -> Column:
-    """Options in order of precedence: tombstones fall out, nothing counts after the first value."""
-    live = F.filter(options, lambda o: o["kind"] != GONE)
+    """Options in order of precedence: tombstones and repeats fall out, nothing counts after the first value."""
+    live = F.array_distinct(F.filter(options, lambda o: o["kind"] != GONE))
     first = F.array_position(F.transform(live, lambda o: o["kind"]), SET).cast("int")
     return F.when(first > 0, F.slice(live, F.lit(1), first)).otherwise(live)
 
@@ -94,18 +99,20 @@ def resolve_moves(events: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = keep(state.filter(~is_open).unionByName(spliced.select("scope", "seq", _cut(F.col("options")).alias("options"))), "moves")
     else:
         raise RuntimeError("renames did not settle")
-    return state.select("scope", "seq", F.get("options", F.lit(0))["seq"].alias("value_seq"), F.get("options", F.lit(0))["ref"].alias("value_ref"))
+    return state.select("scope", "seq", F.get("options", F.lit(0))["value_seq"].alias("value_seq"), F.get("options", F.lit(0))["ref"].alias("value_ref"))
 
 
 def current_state(
-    feed: DataFrame, scope: str = "scope", seq: str = "log_pos", arrival: str = "feed_pos", key: str = "uri", op: str = "op", payload: str = "entry_json", moved_from: str = "rename_from", ref: str = "commit_id", tombstones: bool = False
-) -> DataFrame:
+    feed: DataFrame, scope: str = "scope", seq: str = "log_pos", arrival: str = "feed_pos", key: str = "uri", op: str = "op", payload: str = "entry_json", moved_from: str = "rename_from", ref: str = "commit_id", tombstones: bool = False,
+    base: DataFrame | None = None,
+) -> DataFrame:
     """State of every key after all changes of its scope, each change once, in sequence order.
 
     Fold: the maximum of struct(sequence, operation, payload reference) per key.
     It is commutative and associative, so copies, disorder and late changes don't
-    matter and hot keys are combined before the shuffle. Base rows take part as
-    changes of their own (op ``add``). Renames first become a tombstone at the source and a
+    matter and hot keys are combined before the shuffle. Of the payload only whether there is one is read.
+    ``base``: an earlier result with ``tombstones``, whose rows take part at their last change, so changes that come in
+    after it, or once more, find their place (what a key held before its last change is not in the base: a rename older than that finds nothing at such a source). Renames first become a tombstone at the source and a
     reference at the target (``key_events``); references that win the fold are
     looked up in ``resolve_moves``.
 
@@ -115,9 +122,10 @@ def current_state(
     scope is one scope. Rows without sequence number or key change nothing. An
     empty feed gives no rows. Extra columns are not read.
     """
-    events = key_events(distinct_changes(feed.select(scope, seq, arrival, key, op, payload, moved_from, ref), scope, seq, arrival), scope, seq, key, op, payload, moved_from, ref)
-    events = keep(events, "events")
-    last = events.groupBy("scope", "key").agg(F.max(F.struct("seq", "kind", "ref")).alias("last"))
+    c = feed.select(F.col(scope).alias("scope"), F.col(seq).cast("bigint").alias("seq"), F.col(arrival).alias("arrival"), F.col(key).alias("key"), F.col(op).alias("op"), F.col(payload).isNotNull().alias("full"), F.col(moved_from).alias("source"), F.col(ref).cast("string").alias("ref"))
+    events = key_events(distinct_changes(c, "scope", "seq", "arrival"))
+    events = keep(events if base is None else events.unionByName(base_events(base)), "events")
+    last = events.groupBy("scope", "key").agg(F.max(F.struct("seq", "kind", "ref", "value_seq")).alias("last"))
     moves = resolve_moves(events).select(F.col("scope").alias("s"), F.col("seq").alias("q"), F.col("value_seq").alias("moved_seq"), F.col("value_ref").alias("moved_ref"))
     out = last.join(moves, F.col("scope").eqNullSafe(F.col("s")) & (F.col("last.seq") == F.col("q")) & (F.col("last.kind") == MOVED_IN), "left")
     kind = F.col("last.kind")
@@ -125,7 +133,7 @@ def current_state(
         "scope",
         "key",
         F.col("last.seq").alias("last_seq"),
-        F.when(kind == SET, F.col("last.seq")).when(kind == MOVED_IN, F.col("moved_seq")).alias("value_seq"),
+        F.when(kind == SET, F.col("last.value_seq")).when(kind == MOVED_IN, F.col("moved_seq")).alias("value_seq"),
         F.when(kind == SET, F.col("last.ref")).when(kind == MOVED_IN, F.col("moved_ref")).alias("value_ref"),
     ).withColumn("present", F.col("value_seq").isNotNull())
     return out if tombstones else out.filter("present")

@@ -9,15 +9,16 @@ from collections import defaultdict
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import keep
+from ..scratch import drop, keep
 from .components import connected_components
 
 BLOCK_ARCS = 200_000
 MERGE_FRONTS = 16
+LEAST_ARCS = 5_000
 
 
 def outgoing(edges: DataFrame, nodes: DataFrame, kind: str | None = None) -> DataFrame:
@@ -82,20 +83,24 @@ def _walk_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": list(hop), "hop": list(hop.values())})
 
 
+def _homes(arcs: DataFrame, block_arcs: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of whole histories (a, block), and the nodes (a) of histories of over ``block_arcs`` arcs. Blocks are about two a core, if that leaves them arcs enough."""
+    n = arcs.count()
+    per = min(block_arcs, max(LEAST_ARCS, n // (2 * arcs.sparkSession.sparkContext.defaultParallelism)))
+    comp = keep(connected_components(arcs), "components")
+    sizes = arcs.join(comp, arcs["a"] == comp["node"]).groupBy("component").agg(F.count("*").alias("n"))
+    of = keep(comp.join(sizes, "component").select(F.col("node").alias("a"), "component", "n"), "homes")
+    home = of.filter(F.col("n") <= block_arcs).select("a", F.pmod(F.xxhash64("component"), F.lit(max(1, -(-n // per)))).cast("int").alias("block"))
+    return home, of.filter(F.col("n") > block_arcs).select("a")
+
+
 def _closure(arcs: DataFrame, seeds: DataFrame, block_arcs: int) -> DataFrame:
     """All nodes that can be reached. Components are walked whole in blocks; only for one of over ``block_arcs`` arcs rounds are needed."""
     starts = seeds.join(arcs.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"))
+    home, rest = _homes(arcs, block_arcs)
     large = None
-    if (n := arcs.count()) <= block_arcs:
-        home = arcs.select("a").distinct().withColumn("block", F.lit(0))
-    else:
-        comp = keep(connected_components(arcs), "components")
-        sizes = arcs.join(comp, arcs["a"] == comp["node"]).groupBy("component").agg(F.count("*").alias("n"))
-        of = keep(comp.join(sizes, "component").select(F.col("node").alias("a"), "component", "n"), "homes")
-        home = of.filter(F.col("n") <= block_arcs).select("a", F.pmod(F.xxhash64("component"), F.lit(-(-n // block_arcs))).cast("int").alias("block"))
-        rest = of.filter(F.col("n") > block_arcs).select("a")
-        if not rest.isEmpty():
-            large = _rounds(keep(arcs.join(rest, "a", "left_semi"), "arcs"), keep(starts.join(rest, "a", "left_semi").select(F.col("a").alias("node"), F.lit(0).alias("hop")), "seen"), None)
+    if not rest.isEmpty():
+        large = _rounds(keep(arcs.join(rest, "a", "left_semi"), "arcs"), keep(starts.join(rest, "a", "left_semi").select(F.col("a").alias("node"), F.lit(0).alias("hop")), "seen"), None)
     rows = arcs.unionByName(starts.select("a", F.lit(None).cast(arcs.schema["b"].dataType).alias("b"))).join(home, "a")
     found = rows.groupBy("block").applyInPandas(_walk_block, f"node {arcs.schema['a'].dataType.simpleString()}, hop int").unionByName(seeds)
     found = found if large is None else found.unionByName(large)
@@ -122,11 +127,16 @@ def pagerank(edges: DataFrame, rounds: int = 32, damping: float = 0.85, start: D
         base = base.join(start.select("node", "rank"), "node", "left").withColumn("rank", F.coalesce("rank", F.lit(1.0 / n)))
     else:
         base = base.withColumn("rank", F.lit(1.0 / n))
-    now = keep(base, "rank")
+    # what nodes without edges out hold is summed while a round is written
+    loose_rank = F.sum(F.when(F.col("n_out").isNull(), F.col("rank")))
+    watch = Observation()
+    now = keep(base.observe(watch, loose_rank.alias("loose")), "rank")
     for _ in range(rounds):
-        loose = now.filter("n_out is null").agg(F.sum("rank")).first()[0] or 0.0
+        loose = watch.get.get("loose") or 0.0
+        watch, past = Observation(), now
         sent = arcs.join(now.filter("n_out is not null").select(F.col("node").alias("a"), (F.col("rank") / F.col("n_out")).alias("share")), "a").groupBy(F.col("b").alias("node")).agg(F.sum("share").alias("got"))
-        now = keep(now.select("node", "n_out").join(sent, "node", "left").withColumn("rank", F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).drop("got"), "rank")
+        now = keep(now.select("node", "n_out").join(sent, "node", "left").withColumn("rank", F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).drop("got").observe(watch, loose_rank.alias("loose")), "rank")
+        drop(past)
     return now.select("node", "rank")
 
 
@@ -141,12 +151,73 @@ def associates(edges: DataFrame, seeds: DataFrame, per_seed: int = 2) -> DataFra
     return n.select("from", "to", F.pow(F.lit(0.5), F.col("i") - 1).alias("weight"))
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
-    return reach(edges, seeds, hops)
+def reach_each(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """Nodes within ``hops`` of each start by its own: of, node, hop (least). ``starts``: of, node."""
+    arcs = keep(edges.select(F.col("from").alias("node"), F.col("to").alias("next")).filter("node is not null and next is not null").distinct(), "arcs")
+    seen = front = keep(starts.select("of", "node", F.lit(0).alias("hop")).distinct(), "seen")
+    for hop in range(1, hops + 1):
+        new = arcs.join(front.select("of", "node"), "node").select("of", F.col("next").alias("node")).distinct().join(seen, ["of", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        front = keep(new, "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def common_ancestors(edges: DataFrame, a: DataFrame, b: DataFrame, hops: int) -> DataFrame:
+    """Of each pair of sides (of, node), the node above both with the least sum of distances: of, node, total."""
+    x = reach_each(edges, a, hops).withColumnRenamed("hop", "hop_a")
+    y = reach_each(edges, b, hops).withColumnRenamed("hop", "hop_b")
+    both = x.join(y, ["of", "node"]).select("of", F.struct((F.col("hop_a") + F.col("hop_b")).alias("total"), "node").alias("n"))
+    return both.groupBy("of").agg(F.min("n").alias("n")).select("of", "n.node", "n.total")
+
+
+def _test_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b, ``asked``) of one block whose b can be reached from a by its arcs."""
+    out, goals, found = defaultdict(list), defaultdict(set), []
+    for a, b, asked in zip(rows["a"], rows["b"], rows["asked"]):
+        if asked:
+            goals[a].add(b)
+        else:
+            out[a].append(b)
+    for start, wanted in goals.items():
+        seen, todo, left = {start}, [start], set(wanted)
+        while todo and left:
+            x = todo.pop()
+            left.discard(x)
+            for y in out.get(x, ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        found += [(start, g) for g in wanted - left]
+    return pd.DataFrame(found, columns=["start", "goal"], dtype=object)
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, block_arcs: int = BLOCK_ARCS) -> DataFrame:
+    """The pairs (start, goal) whose goal can be reached from the start, or is it.
+
+    Histories are walked whole in blocks; a pair in one of over ``block_arcs`` arcs is searched for along the edges, round by round.
+    """
+    arcs = keep(edges.select(F.col("from").alias("a"), F.col("to").alias("b")).filter("a is not null and b is not null").distinct(), "arcs")
+    pairs = keep(pairs.select("start", "goal").filter("start is not null and goal is not null").distinct(), "pairs")
+    home, rest = _homes(arcs, block_arcs)
+    no, yes = F.lit(False).alias("asked"), F.lit(True).alias("asked")
+    rows = arcs.select("a", "b", no).unionByName(pairs.select(F.col("start").alias("a"), F.col("goal").alias("b"), yes)).join(home, "a")
+    kind = arcs.schema["a"].dataType.simpleString()
+    met = rows.groupBy("block").applyInPandas(_test_block, f"start {kind}, goal {kind}").unionByName(pairs.filter("start = goal"))
+    front = seen = keep(pairs.join(rest.withColumnRenamed("a", "start"), "start", "left_semi").select("start", "goal", F.col("start").alias("a")), "seen")
+    for turn in count(1):
+        if front.isEmpty():
+            return met.distinct()
+        new = keep(arcs.join(front, "a").select("start", "goal", F.col("b").alias("a")).distinct().join(seen, ["start", "goal", "a"], "left_anti"), "front")
+        hit = keep(new.filter("a = goal").select("start", "goal").distinct(), "met")
+        met, front, seen = met.unionByName(hit), new.join(hit, ["start", "goal"], "left_anti"), seen.unionByName(new)
+        if turn % MERGE_FRONTS == 0:
+            seen, front, met = keep(seen, "seen"), keep(front, "front"), keep(met, "met")
 
 
 def common_ancestor(edges: DataFrame, a: DataFrame, b: DataFrame, hops: int | None = None) -> DataFrame:
-    """Nodes above both sides with the least sum of distances."""
+    """Of nodes above both sides the one with the least sum of distances."""
     x = reach(edges, a, hops).withColumnRenamed("hop", "hop_a")
     y = reach(edges, b, hops).withColumnRenamed("hop", "hop_b")
     both = x.join(y, "node").withColumn("total", F.col("hop_a") + F.col("hop_b"))

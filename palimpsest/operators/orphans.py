@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 HOT_SHARE = 1000
 
 
@@ -45,7 +44,7 @@ def orphan_links(refs: Sequence[Reference]) -> DataFrame:
     when it first came in. Groups that hold a target no later than their first
     link are clean and fall away there. The rest meet their links again: a key
     with over a thousandth of all links (so at most a thousand keys) is spread
-    over ``SALTS`` parts first, so that no task gets all links of one key.
+    over parts of that size first, so that no task gets all links of one key.
 
     Result: ref_table, row_key, missing_key, seen_at, status (``absent`` or
     ``late``). A null key is no link; a null row key is kept as a value of its
@@ -66,14 +65,14 @@ def orphan_links(refs: Sequence[Reference]) -> DataFrame:
         .agg(F.sum("n_links").alias("n_links"), F.min("first_link").alias("first_link"), F.max("is_target").alias("has_target"), F.min("first_target").alias("first_target"))
         .filter((F.col("n_links") > 0) & (~F.col("has_target") | (F.col("first_target") > F.col("first_link"))))
     )
-    total = links.count()
-    hot = per_key.filter(F.col("n_links") > max(10_000, total // HOT_SHARE)).select("ref_table", "key", F.lit(True).alias("hot"))
+    most = max(10_000, links.count() // HOT_SHARE)
+    hot = per_key.filter(F.col("n_links") > most).select("ref_table", "key", F.ceil(F.col("n_links") / most).cast("int").alias("parts"))
     suspects = (
         per_key.join(F.broadcast(hot), ["ref_table", "key"], "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         .select("ref_table", "key", "salt", "has_target", "first_target")
     )
-    salted = links.join(F.broadcast(hot), ["ref_table", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    salted = links.join(F.broadcast(hot), ["ref_table", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("row_key"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     return (
         salted.join(suspects, ["ref_table", "key", "salt"])
         .filter(~F.col("has_target") | (F.col("first_target") > F.col("seen_at")))

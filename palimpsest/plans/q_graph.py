@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import versioning as V
 from ..operators.components import connected_components
-from .fixtures import CX, DX, EX, Catalog, commits, deltas, edges, entries
+from .fixtures import CX, DX, EX, VX, Catalog, commits, deltas, edges, entries, versions
 
 query = Catalog()
-SEEDS = f"{EX}, s AS (SELECT DISTINCT f AS node FROM ex WHERE substr(f, 1, 2) = '0a')"
+SEEDS = f"{EX}, {CX}, s AS (SELECT arg_max(id, (committed_at, id)) AS node FROM cx GROUP BY scope)"
+ALL = f"{EX}, s AS (SELECT f AS node FROM ex UNION SELECT t FROM ex)"
 
 
 def _seeds(s, d):
-    return edges(s, d).filter("substr(`from`, 1, 2) = '0a'").select(F.col("from").alias("node")).distinct()
+    """The newest commit of every scope."""
+    return V.heads(commits(s, d)).select(F.col("head").alias("node"))
 
 
-@query('SELECT DISTINCT f AS "from", t AS "to" FROM ex WHERE f IN (SELECT node FROM s) AND kind = \'derived_from\'', SEEDS)
+def _every(s, d):
+    return edges(s, d).select(F.explode(F.array("from", "to")).alias("node")).distinct()
+
+
+@query('SELECT DISTINCT f AS "from", t AS "to" FROM ex WHERE f IN (SELECT node FROM s) AND kind = \'derived_from\'', ALL)
 def g_out(s, d):
-    return G.outgoing(edges(s, d), _seeds(s, d), "derived_from")
+    return G.outgoing(edges(s, d), _every(s, d), "derived_from")
 
 
-@query('SELECT DISTINCT f AS "from", t AS "to" FROM ex WHERE t IN (SELECT node FROM s)', SEEDS)
+@query('SELECT DISTINCT f AS "from", t AS "to" FROM ex WHERE t IN (SELECT node FROM s)', ALL)
 def g_in(s, d):
-    return G.incoming(edges(s, d), _seeds(s, d))
+    return G.incoming(edges(s, d), _every(s, d))
 
 
 @query('SELECT f AS "from", t AS "to", kind FROM ex', EX)
@@ -62,7 +68,7 @@ def g_downstream(s, d):
     return G.reach(edges(s, d), _seeds(s, d), 5).filter("hop > 0")
 
 
-@query(_REACH.format(h=12).replace("JOIN ex ON", "JOIN (SELECT * FROM ex WHERE kind = 'derived_from') ex ON") + " SELECT node, hop FROM m", SEEDS)
+@query(_REACH.format(h="(SELECT count(*) FROM ex)").replace("JOIN ex ON", "JOIN (SELECT * FROM ex WHERE kind = 'derived_from') ex ON") + " SELECT node, hop FROM m", SEEDS)
 def g_lineage(s, d):
     return G.reach(edges(s, d), _seeds(s, d), None, ["derived_from"])
 
@@ -88,33 +94,33 @@ def _rank_sql(rounds: int) -> str:
     return ", ".join(steps)
 
 
-@query(f"WITH {_rank_sql(12)} SELECT x AS node, round(r * (SELECT n FROM k), 6) AS rank FROM r12")
+@query(f"WITH {_rank_sql(32)} SELECT x AS node, round(r * (SELECT n FROM k), 6) AS rank FROM r32")
 def g_pagerank(s, d):
-    r = G.pagerank(edges(s, d), 12)
+    r = G.pagerank(edges(s, d), 32)
     return r.select("node", F.round(F.col("rank") * r.count(), 6).alias("rank"))
 
 
 def g_pagerank_inc(s, d):
     """Warm start from the ranks without the merge edges."""
     e = edges(s, d)
-    old = G.pagerank(e.filter("kind = 'derived_from'"), 4)
-    return G.pagerank(e, 4, start=old)
+    old = G.pagerank(e.filter("kind = 'derived_from'"), 32)
+    return G.pagerank(e, 32, start=old)
 
 
 query()(g_pagerank_inc)
 
 
-@query(f"WITH {_rank_sql(12)}, g AS (SELECT node, sum(c) AS deg FROM (SELECT f AS node, count(*) AS c FROM ex GROUP BY f UNION ALL SELECT t, count(*) FROM ex GROUP BY t) GROUP BY node) SELECT x AS node, round(0.72 * r * (SELECT n FROM k) + 0.28 * least(deg / 12, 1.0), 5) AS score FROM r12 JOIN g ON g.node = x")
+@query(f"WITH {_rank_sql(32)}, g AS (SELECT node, sum(c) AS deg FROM (SELECT f AS node, count(*) AS c FROM ex GROUP BY f UNION ALL SELECT t, count(*) FROM ex GROUP BY t) GROUP BY node) SELECT x AS node, round(0.72 * r * (SELECT n FROM k) + 0.28 * least(deg / 12, 1.0), 5) AS score FROM r32 JOIN g ON g.node = x")
 def g_noderank(s, d):
     e = edges(s, d)
-    r = G.pagerank(e, 12)
+    r = G.pagerank(e, 32)
     n = r.count()
     return r.join(G.degrees(e), "node").select("node", F.round(G.node_score(F.col("rank") * n, F.col("n_in") + F.col("n_out")), 5).alias("score"))
 
 
-@query('+ n AS (SELECT DISTINCT f, t FROM ex WHERE f IN (SELECT node FROM s)), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY t) AS i FROM n) SELECT f AS "from", t AS "to", pow(0.5, i - 1) AS weight FROM k WHERE i <= 2', SEEDS)
+@query('+ n AS (SELECT DISTINCT f, t FROM ex WHERE f IN (SELECT node FROM s)), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY t) AS i FROM n) SELECT f AS "from", t AS "to", pow(0.5, i - 1) AS weight FROM k WHERE i <= 2', ALL)
 def g_assoc(s, d):
-    return G.associates(edges(s, d), _seeds(s, d))
+    return G.associates(edges(s, d), _every(s, d))
 
 
 @query('SELECT f AS "from", list_sort(list(DISTINCT t)) AS neighbours FROM ex GROUP BY f', EX)
@@ -220,7 +226,18 @@ def v_diff(s, d):
 
 
 query.queries["diff_sets"], query.oracles["diff_sets"] = v_diff, query.oracles["v_diff"]
-query.queries["v_tdiff"], query.oracles["v_tdiff"] = v_diff, query.oracles["v_diff"]
+
+
+@query("+ a AS (SELECT uri, arg_max(l0, version) AS l0 FROM vx WHERE tx <= TIMESTAMP '2024-05-01' GROUP BY uri), b AS (SELECT uri, arg_max(l0, version) AS l0 FROM vx WHERE tx <= TIMESTAMP '2024-10-01' GROUP BY uri) SELECT b.uri, a.l0 AS before, b.l0 AS after FROM b LEFT JOIN a ON a.uri = b.uri WHERE a.l0 IS DISTINCT FROM b.l0", VX)
+def v_tdiff(s, d):
+    """Text of every entry at two instants, where it differs; one pass over the versions."""
+    v = versions(s, d)
+    at = lambda t: F.max_by("l0", F.when(F.col("tx") <= F.lit(t).cast("timestamp_ntz"), F.col("version")))
+    known = F.max(F.col("tx") <= F.lit("2024-10-01").cast("timestamp_ntz"))
+    g = v.groupBy("uri").agg(at("2024-05-01").alias("before"), at("2024-10-01").alias("after"), known.alias("known")).filter("known")
+    return g.filter(~F.col("before").eqNullSafe(F.col("after"))).select("uri", "before", "after")
+
+
 
 _MERGE = f"+ {_SNAP.format(x=3)}, {_SNAP.format(x=0)}, {_SNAP.format(x=1)}, j AS (SELECT coalesce(b.uri, o.uri, t.uri) AS uri, b.commit_id AS b, o.commit_id AS o, t.commit_id AS t FROM sn3 b FULL JOIN sn0 o ON o.uri = b.uri FULL JOIN sn1 t ON t.uri = coalesce(b.uri, o.uri)), m AS (SELECT uri, CASE WHEN o IS NOT DISTINCT FROM t THEN 'same' WHEN t IS NOT DISTINCT FROM b THEN 'ours' WHEN o IS NOT DISTINCT FROM b THEN 'theirs' ELSE 'conflict' END AS state, o, t FROM j), w AS (SELECT uri, state, CASE WHEN state = 'theirs' THEN t WHEN state = 'conflict' THEN {{won}} ELSE o END AS merged FROM m)"
 
@@ -255,13 +272,17 @@ def v_crdt_set(s, d):
     return entries(s, d).select("tenant", F.explode("tags").alias("t")).groupBy("tenant").agg(F.array_sort(F.collect_set("t")).alias("tags"))
 
 
-@query("SELECT tenant, max(quality) AS confidence, round(sum(coalesce(quality, 0.5) * mvcc_version) / sum(mvcc_version), 6) AS quality, arg_max(uri, (updated_at, uri)) AS latest FROM fx GROUP BY tenant")
+@query("+ g AS (SELECT tenant, max(quality) AS confidence, sum(round(100 * coalesce(quality, 0.5))::BIGINT * mvcc_version)::BIGINT AS q, sum(mvcc_version)::BIGINT AS n, arg_max(uri, (updated_at, uri)) AS latest, list_sort(list_distinct(flatten(list(tags)))) AS tags FROM fx GROUP BY tenant) SELECT tenant, confidence, (1000 * q) // n AS quality, latest, coalesce(tags, []) AS tags FROM g")
 def v_patch(s, d):
+    """Maximum of confidence, mean quality weighted by version (whole thousandths of a hundredth, so no rounding differs), latest entry and union of tags."""
     v = F.col("mvcc_version")
-    return entries(s, d).groupBy("tenant").agg(F.max("quality").alias("confidence"), F.round(F.sum(F.coalesce("quality", F.lit(0.5)) * v) / F.sum(v), 6).alias("quality"), F.max_by("uri", F.struct("updated_at", "uri")).alias("latest"))
+    q = F.round(100 * F.coalesce("quality", F.lit(0.5))).cast("bigint")
+    e = entries(s, d)
+    g = e.groupBy("tenant").agg(F.max("quality").alias("confidence"), F.sum(q * v).alias("q"), F.sum(v).alias("n"), F.max_by("uri", F.struct("updated_at", "uri")).alias("latest"))
+    return g.join(v_crdt_set(s, d), "tenant", "left").select("tenant", "confidence", F.expr("(1000 * q) div n").alias("quality"), "latest", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
-_ANC = f"{EX}, {CX}, h AS (SELECT arg_max(id, (committed_at, id)) AS id FROM cx GROUP BY scope), r(id, hop) AS (SELECT id, 0 FROM h UNION SELECT ex.t, r.hop + 1 FROM r JOIN ex ON ex.f = r.id WHERE r.hop < 25), a AS (SELECT id, min(hop)::INT AS hop FROM r GROUP BY id)"
+_ANC = f"{EX}, {CX}, h AS (SELECT arg_max(id, (committed_at, id)) AS id FROM cx GROUP BY scope), r(id, hop) AS (SELECT id, 0 FROM h UNION SELECT ex.t, r.hop + 1 FROM r JOIN ex ON ex.f = r.id WHERE r.hop < (SELECT count(*) FROM ex)), a AS (SELECT id, min(hop)::INT AS hop FROM r GROUP BY id)"
 
 
 def _reached(s, d):
@@ -281,15 +302,29 @@ def v_dag(s, d):
     return _reached(s, d).filter("hop > 0")
 
 
-query.queries["v_isancestor"], query.oracles["v_isancestor"] = v_dag, query.oracles["v_dag"]
+@query("+ f AS (SELECT scope, arg_min(id, (committed_at, id)) AS first FROM cx GROUP BY scope) SELECT f.scope, f.first, f.first IN (SELECT id FROM r0 WHERE r0.scope = f.scope) AS is_ancestor FROM f", f"{EX}, {CX}, r0(scope, id) AS (SELECT scope, arg_max(id, (committed_at, id)) FROM cx GROUP BY scope UNION SELECT r0.scope, ex.t FROM r0 JOIN ex ON ex.f = r0.id)")
+def v_isancestor(s, d):
+    """Whether the first commit of a scope is an ancestor of (or is) its newest one, each pair of a scope by its own."""
+    c = commits(s, d)
+    ends = c.groupBy("scope").agg(F.min_by("id", F.struct("committed_at", "id")).alias("first"), F.max_by("id", F.struct("committed_at", "id")).alias("head"))
+    found = G.reaches(edges(s, d), ends.select(F.col("head").alias("start"), F.col("first").alias("goal")))
+    return ends.join(found.select(F.col("start").alias("head"), F.col("goal").alias("first"), F.lit(True).alias("hit")), ["head", "first"], "left").select("scope", "first", F.coalesce("hit", F.lit(False)).alias("is_ancestor"))
+
+
+_SIDE = "{n}(m, id, hop) AS (SELECT f, t, 0 FROM ex WHERE kind = '{k}' AND f IN (SELECT f FROM ex WHERE kind = 'merges') UNION SELECT m, ex.t, hop + 1 FROM {n} JOIN ex ON ex.f = {n}.id WHERE hop < {h})"
 
 
-@query("+ p AS (SELECT min(f) AS f FROM ex WHERE kind = 'merges'), l(id, hop) AS (SELECT t, 0 FROM ex WHERE f = (SELECT f FROM p) AND kind = 'derived_from' UNION SELECT ex.t, hop + 1 FROM l JOIN ex ON ex.f = l.id WHERE hop < 25), q(id, hop) AS (SELECT t, 0 FROM ex WHERE f = (SELECT f FROM p) AND kind = 'merges' UNION SELECT ex.t, hop + 1 FROM q JOIN ex ON ex.f = q.id WHERE hop < 25), x AS (SELECT id, min(hop) AS a FROM l GROUP BY id), y AS (SELECT id, min(hop) AS b FROM q GROUP BY id) SELECT x.id AS node, a::INT AS hop_a, b::INT AS hop_b FROM x JOIN y USING (id) ORDER BY a + b, x.id LIMIT 1", EX)
+@query(
+    f"+ {_SIDE.format(n='l', k='derived_from', h=8)}, {_SIDE.format(n='q', k='merges', h=8)}, x AS (SELECT m, id, min(hop) AS a FROM l GROUP BY m, id), y AS (SELECT m, id, min(hop) AS b FROM q GROUP BY m, id)"
+    " SELECT m AS merge, arg_min(x.id, (a + b, x.id)) AS node, min(a + b)::INT AS total FROM x JOIN y USING (m, id) GROUP BY m",
+    EX,
+)
 def v_mergebase(s, d):
+    """Nearest common ancestor, within 8 steps on each side, of the two sides of every merge."""
     e = edges(s, d)
-    m = e.join(F.broadcast(e.filter("kind = 'merges'").agg(F.min("from").alias("from"))), "from")
-    side = lambda k: m.filter(F.col("kind") == k).select(F.col("to").alias("node"))
-    return G.common_ancestor(e, side("derived_from"), side("merges"))
+    merges = e.filter("kind = 'merges'").select("from").distinct()
+    side = lambda k: e.filter(F.col("kind") == k).join(merges, "from", "left_semi").select(F.col("from").alias("of"), F.col("to").alias("node"))
+    return G.common_ancestors(e, side("derived_from"), side("merges"), 8).select(F.col("of").alias("merge"), "node", "total")
 
 
 @query("SELECT dx.uri, dx.commit_id, cx.committed_at FROM dx JOIN cx ON cx.id = dx.commit_id WHERE dx.op = 'update'", f"{DX}, {CX}")

@@ -55,3 +55,22 @@ def test_tombstones_hold_against_late_changes(spark):
     rows = [("s", 2, 1, "k", "delete", None, None, "d", ""), ("s", 1, 2, "k", "add", "{}", None, "c", "")]
     got = current_state(spark.createDataFrame(rows, SCHEMA), tombstones=True).collect()
     assert [(r["key"], r["present"], r["last_seq"]) for r in got] == [("k", False, 2)]
+
+
+def test_folding_onto_a_base(spark):
+    r = random.Random(9)
+    rows = []
+    for pos in range(240):
+        op = r.choice(["add", "update", "rename", "delete"])
+        rows.append(("a", pos, pos, f"k{r.randrange(8)}", op, None if r.random() < 0.1 else "{}", f"k{r.randrange(8)}" if op == "rename" else None, f"c{pos}", "x"))
+    base = current_state(spark.createDataFrame(rows[:130], SCHEMA), tombstones=True)
+    # the second batch repeats the end of the first
+    got = current_state(spark.createDataFrame(rows[125:], SCHEMA), base=base).collect()
+    assert {(x["scope"], x["key"], x["value_ref"]) for x in got} == replay(rows)
+    whole = current_state(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(x["key"], x["last_seq"], x["value_seq"]) for x in got} == {(x["key"], x["last_seq"], x["value_seq"]) for x in whole}
+
+
+def test_late_change_meets_a_tombstone_of_the_base(spark):
+    base = current_state(spark.createDataFrame([("s", 5, 1, "k", "delete", None, None, "d", "")], SCHEMA), tombstones=True)
+    assert current_state(spark.createDataFrame([("s", 1, 2, "k", "add", "{}", None, "c", "")], SCHEMA), base=base).count() == 0

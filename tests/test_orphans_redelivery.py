@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import orphans
 from palimpsest.operators.orphans import Reference, orphan_links
-from palimpsest.operators.redelivery import deduplicate, surplus_copies, uuid_key
+from palimpsest.operators.redelivery import SeenStore, deduplicate, surplus_copies, uuid_key
 
 U = "0a1b2c3d-0000-1111-2222-333344445555"
 
@@ -64,3 +64,20 @@ def test_many_copies_over_many_buckets(spark):
     got = {r[0] for r in surplus_copies(votes(spark, rows), "delivery_id", "replay_id", "received_at").collect()}
     assert got == {r[0] for r in rows if r[1] == U} - {first}
     assert surplus_copies(votes(spark, []), "delivery_id", "replay_id", "received_at").count() == 0
+
+
+def test_batches_against_a_store(spark, tmp_path):
+    store = SeenStore(spark, str(tmp_path), words=64)
+    rows = [(i, None if i % 50 == 0 else f"{i % 300:032x}", t(i * 11 % 2500), "") for i in range(900)]
+    seen, out = set(), set()
+    for at in range(0, 900, 300):
+        batch = rows[at : at + 300] + [(10_000 + at, f"{7:032x}", t(1), "")]
+        got = {r[0] for r in store.add(votes(spark, batch), "delivery_id", "replay_id", "received_at").collect()}
+        exp = set()
+        for key in {r[1] for r in batch if r[1]}:
+            copies = sorted((r for r in batch if r[1] == key), key=lambda r: (r[2], r[0]))
+            exp |= {r[0] for r in copies[0 if key in seen else 1 :]}
+        assert got == exp
+        seen |= {r[1] for r in batch if r[1]}
+        out |= got
+    assert store.add(votes(spark, []), "delivery_id", "replay_id", "received_at").count() == 0 and out
