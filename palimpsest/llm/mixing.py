@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import keep
-from .tokens import TOKENIZER, token_counts
+from .tokens import TOKENIZER, numbered_copies, token_counts
 
 PERIOD = 1000
+MOST_SLOTS = 1 << 20
 CHUNK_ROWS = 2000
 MOST_TARGETS = 10_000
 
@@ -21,14 +24,22 @@ def source_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
+def period_for(shares: dict[str, float]) -> int:
+    """Slots after which the schedule repeats: enough for two of the smallest share, at least ``PERIOD`` and at most ``MOST_SLOTS``."""
+    least = min(shares.values()) / sum(shares.values())
+    return int(min(MOST_SLOTS, max(PERIOD, math.ceil(2 / least))))
+
+
 def whole_weights(shares: dict[str, float], period: int) -> dict[str, int]:
-    """Shares as whole numbers out of ``period``, by largest remainder."""
+    """Shares as whole numbers out of ``period``, by largest remainder, and at least 1 each."""
     total = sum(shares.values())
     exact = {k: v / total * period for k, v in shares.items()}
-    out = {k: int(v) for k, v in exact.items()}
-    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: period - sum(out.values())]:
+    out = {k: max(1, int(v)) for k, v in exact.items()}
+    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: max(0, period - sum(out.values()))]:
         out[k] += 1
-    return {k: v for k, v in out.items() if v}
+    for _ in range(sum(out.values()) - period):
+        out[max(out, key=lambda k: (out[k], k))] -= 1
+    return out
 
 
 def pfair(weights: dict[str, int], period: int) -> dict[str, list[int]]:
@@ -39,9 +50,16 @@ def pfair(weights: dict[str, int], period: int) -> dict[str, list[int]]:
     deadline goes; so no source is ever a whole block ahead of or behind its share.
     """
     slots: dict[str, list[int]] = {k: [] for k in weights}
+    later = [(0, s) for s in sorted(weights)]
+    ready: list[tuple[int, int, str]] = []
     for t in range(period):
-        ready = [(-(-(len(slots[s]) + 1) * period // w), -w, s) for s, w in weights.items() if len(slots[s]) * period // w <= t and len(slots[s]) < w]
-        slots[min(ready)[2]].append(t)
+        while later and later[0][0] <= t:
+            _, s = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // weights[s]), -weights[s], s))
+        s = heapq.heappop(ready)[2]
+        slots[s].append(t)
+        if len(slots[s]) < weights[s]:
+            heapq.heappush(later, (len(slots[s]) * period // weights[s], s))
     return slots
 
 
@@ -64,8 +82,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str,
     A source is an endless stream: its documents in an order by hash, again and
     again; a document's place in it is a prefix sum in two levels (within chunks of about
     ``CHUNK_ROWS``, then over chunks), so no task sees a whole source. The stream is cut into
-    blocks of ``block_tokens``, which the Pfair schedule interleaves; it repeats after ``PERIOD`` slots, so every
-    document finds its slot by itself.
+    blocks of ``block_tokens``, which the Pfair schedule interleaves by what each source puts in; so all
+    sources, short ones too, last to the end of the mix. It repeats after ``period_for`` slots, so every
+    document finds its slot by itself. A source of under one slot in ``MOST_SLOTS`` gets one, and ends earlier.
 
     schedule: id, source, copy (from 0), n_tokens, place (first token in the stream),
     block, slot; ordered by (slot, place) it is the mix. shares: source, target_share,
@@ -75,7 +94,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str,
     """
     goal = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share"), F.col("max_repeats")).filter("source is not null").groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     kind = docs.schema[id_col].dataType.simpleString()
-    sizes = keep(token_counts(docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")), "text", tokenizer), "tokens")
+    sizes = token_counts(docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text")), "text", tokenizer)
+    sizes = keep(numbered_copies(sizes), "tokens")
     goals = goal.limit(MOST_TARGETS + 1).collect()
     if len(goals) > MOST_TARGETS:
         raise ValueError(f"over {MOST_TARGETS} targets")
@@ -87,20 +107,22 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str,
     if total_tokens is None:
         total_tokens = int(max(least * sum(found.values()), min((repeats[s] * found[s] * whole / w for s, w in share.items()), default=0)))
     take = {s: min(int(round(total_tokens * w / whole)), repeats[s] * found[s]) for s, w in share.items()}
-    weights = whole_weights(share, PERIOD) if share else {}
-    slots = pfair(weights, PERIOD) if weights else {}
+    put = {s: n for s, n in take.items() if n > 0}
+    period = period_for(put) if put else PERIOD
+    weights = whole_weights(put, period) if put else {}
+    slots = pfair(weights, period) if weights else {}
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, found[s], take[s], weights.get(s, 0), slots.get(s, [])) for s in take], "source string, available bigint, take bigint, weight int, slots array<int>")
 
     mine = sizes.join(F.broadcast(plan.select("source", "available", "take")), "source").filter("n_tokens > 0")
     chunks = max(1, mine.count() // CHUNK_ROWS)
-    mine = mine.withColumn("h", F.xxhash64("id", "row")).withColumn("chunk", F.pmod("h", F.lit(chunks)))
-    inside = mine.withColumn("before", F.sum("n_tokens").over(W.partitionBy("source", "chunk").orderBy("h", "row").rowsBetween(W.unboundedPreceding, -1)))
+    mine = mine.withColumn("chunk", F.pmod("h", F.lit(chunks)))
+    inside = mine.withColumn("before", F.sum("n_tokens").over(W.partitionBy("source", "chunk").orderBy("h", "id", "nth").rowsBetween(W.unboundedPreceding, -1)))
     sums = mine.groupBy("source", "chunk").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))).select("source", "chunk", F.coalesce("base", F.lit(0)).alias("base"))
     placed = inside.join(sums, ["source", "chunk"]).withColumn("first", F.coalesce("before", F.lit(0)) + F.col("base"))
     copies = placed.filter("first < take").withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("take") - 1 - F.col("first")) / F.col("available")).cast("int")))).withColumn("place", F.col("copy") * F.col("available") + F.col("first"))
     slotted = copies.join(F.broadcast(plan.select("source", "weight", "slots")), "source").withColumn("block", F.floor(F.col("place") / block_tokens))
-    slot = F.when(F.col("weight") > 0, F.floor(F.col("block") / F.col("weight")) * PERIOD + F.get("slots", F.pmod("block", "weight").cast("int")))
+    slot = F.floor(F.col("block") / F.col("weight")) * period + F.get("slots", F.pmod("block", "weight").cast("int"))
     schedule = slotted.select(F.col("id").cast(kind).alias(id_col), "source", "copy", "n_tokens", "place", "block", slot.cast("bigint").alias("slot"))
     schedule = keep(schedule, "mix")
     actual = schedule.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_copies"))

@@ -6,10 +6,11 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import keep
-from .tokens import TOKENIZER, token_counts
+from .tokens import TOKENIZER, numbered_copies, token_counts
 
 SHARD_TOKENS = 1 << 22
 
@@ -66,18 +67,19 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = 20
     tokens, so shards stay of one size whatever the data; each shard is packed by
     itself. A document over the capacity fills containers of its own and leaves one rest;
     no other is cut. Documents without tokens (null or empty text) come out with a null
-    container. Repeated rows are packed each.
+    container. Repeated rows are packed each. The result depends on ids and texts alone, not on files or partitions.
     """
     key = F.col(id_col)
     kind = df.schema[id_col].dataType.simpleString()
     sizes = keep(token_counts(df.select(key.alias("id"), F.col(text_col).alias("text")), "text", tokenizer), "tokens")
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    spread = sizes.withColumn("shard", F.pmod(F.xxhash64("id", "n_tokens", F.monotonically_increasing_id()), F.lit(shards)))
+    spread = numbered_copies(sizes).withColumn("shard", F.pmod("h", F.lit(shards)))
     names = ["id", "part", "token_from", "token_to", "container", "offset", "n_tokens"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
+        rows = rows.sort_values(["n_tokens", "h"], kind="stable")
         items, out, n_bins = [], [], 0
         for row, (doc, n) in enumerate(zip(rows["id"].tolist(), rows["n_tokens"].tolist())):
             full = n // capacity
@@ -103,6 +105,17 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, capacity: int = 20
     return spread.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
+def packing_check(packed: DataFrame, id_col: str, capacity: int = 2048) -> DataFrame:
+    """Per document whether its parts cover its tokens once and in order (``whole``, repeats of an id counted each) and fit their containers without lying on each other (``fits``)."""
+    w = W.partitionBy("container").orderBy("offset")
+    laid = packed.withColumn("end", F.coalesce(F.lag(F.col("offset") + F.col("n_tokens")).over(w), F.lit(0)))
+    ok = F.col("container").isNull() & (F.col("n_tokens") == 0) | (F.col("offset") == F.col("end")) & (F.col("offset") + F.col("n_tokens") <= capacity)
+    inside = laid.select(id_col, "part", "token_from", "token_to", "n_tokens", F.coalesce(ok, F.lit(False)).alias("ok"))
+    covers = (F.col("token_to") - F.col("token_from") == F.col("n_tokens")) & (F.col("token_from") == F.col("part").cast("bigint") * capacity)
+    parts = inside.groupBy(id_col).agg((F.min(covers) & (F.count_distinct("part") == F.max("part") + 1)).alias("whole"), F.min("ok").alias("fits"))
+    return parts
+
+
 def container_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row: containers, tokens, share of room used, containers filled to the last token."""
     bins = packed.filter("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))

@@ -15,8 +15,8 @@ from ..scratch import keep
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "line_end_ratio", "common_ratio")
 RANKS = [i / 100 for i in range(101)]
 MOST_WORDS = 100_000
-# limits of running prose
-LEAST_LINE_ENDS, LEAST_COMMON, MOST_SYMBOLS, SHORT_WORDS, LONG_WORDS = 0.5, 0.25, 0.12, 3, 8
+# limits of running prose: statistic, smallest and largest value
+LIMITS = (("line_end_ratio", 0.5, None), ("common_ratio", 0.25, None), ("symbol_ratio", None, 0.12), ("mean_word_length", 3.0, 8.0))
 
 _WORD = regex.compile(r"\p{L}+")
 _SYMBOL = re.compile(r"[^\w\s]|_")
@@ -38,7 +38,7 @@ def measure(text: str, common: frozenset[str]) -> tuple | None:
 def text_statistics(df: DataFrame, id_col: str, text_col: str, lang_col: str, common_words: DataFrame) -> DataFrame:
     """Statistics of each text, read whole: id, lang, then ``STATS``; null for null and blank texts.
 
-    ``common_words`` (lang, word) must be a list of bounded size; it is sent to the executors.
+    ``common_words`` (lang, word) must be a list of bounded size (checked); it is sent to the executors. There is a grid a language; they are few by nature.
     """
     listed = common_words.filter("lang is not null and word is not null").limit(MOST_WORDS + 1).collect()
     if len(listed) > MOST_WORDS:
@@ -64,28 +64,33 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, lang_col: str, commo
     sketch come a grid of 101 quantiles, the median and the quartiles. ``<stat>_pct``: highest
     grid quantile not above the value; ``<stat>_z``: distance from the median in
     units of IQR/1.349, null where the quartiles are equal. ``tails``: the statistics in the lowest or highest
-    ``tail`` of the language. ``is_junk``: two or more of the limits of running prose are broken, or
-    there is text but no word. Null and blank texts have null statistics and are not junk.
+    ``tail`` of the language. ``is_junk``: there is text but no word, or two or more statistics lie in the tail that a limit of running prose cuts off, by
+    percentile, and, checked exactly, beyond that limit. Null and blank texts have null statistics and are not junk.
     """
     stats = keep(text_statistics(df, id_col, text_col, lang_col, common_words), "quality")
     sketches = stats.groupBy("lang").agg(*[F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATS])
     ranks = F.array(*[F.lit(r) for r in RANKS])
     grids = sketches.select(F.col("lang").alias("of_lang"), *[F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, ranks)).alias(f"{s}_grid") for s in STATS])
     grids = keep(grids, "grids")
-    x = stats.join(grids, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    x = stats.join(F.broadcast(grids), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     low, high = round(100 * tail), round(100 * (1 - tail))
+    reached = lambda s, v: F.greatest(F.lit(0.0), (F.size(F.filter(F.col(f"{s}_grid"), lambda q: q <= v)) - 1) / 100)
     extra, tails = [], []
     for s in STATS:
         v, g = F.col(s).cast("double"), F.col(f"{s}_grid")
-        reached = F.expr(f"size(filter({s}_grid, q -> q <= cast({s} as double)))")
-        extra.append(F.when(v.isNotNull(), F.greatest(F.lit(0.0), (reached - 1) / 100)).alias(f"{s}_pct"))
+        extra.append(F.when(v.isNotNull(), reached(s, v)).alias(f"{s}_pct"))
         extra.append(F.when(g[75] > g[25], (v - g[50]) / ((g[75] - g[25]) / 1.349)).alias(f"{s}_z"))
         tails.append(F.when((v < g[low]) | (v > g[high]), F.lit(s)))
-    broken = (
-        F.when(F.col("line_end_ratio") < LEAST_LINE_ENDS, 1).otherwise(0)
-        + F.when(F.col("common_ratio") < LEAST_COMMON, 1).otherwise(0)
-        + F.when(F.col("symbol_ratio") > MOST_SYMBOLS, 1).otherwise(0)
-        + F.when((F.col("mean_word_length") < SHORT_WORDS) | (F.col("mean_word_length") > LONG_WORDS), 1).otherwise(0)
-    )
-    junk = F.coalesce((F.col("n_words") == 0) | (broken >= 2), F.lit(False))
+    # a value beyond a limit has a percentile at or beyond the limit's, whatever the error of the sketch
+    beyond, broken = F.lit(0), F.lit(0)
+    for s, least, most in LIMITS:
+        v = F.col(s)
+        tail_of, over = F.lit(False), F.lit(False)
+        if least is not None:
+            tail_of, over = tail_of | (reached(s, v) <= reached(s, F.lit(least))), over | (v < least)
+        if most is not None:
+            tail_of, over = tail_of | (reached(s, v) >= reached(s, F.lit(most))), over | (v > most)
+        beyond = beyond + F.coalesce(tail_of & v.isNotNull(), F.lit(False)).cast("int")
+        broken = broken + F.coalesce(over, F.lit(False)).cast("int")
+    junk = F.coalesce((F.col("n_words") == 0) | (beyond >= 2) & (broken >= 2), F.lit(False))
     return x.select(id_col, "lang", *STATS, *extra, F.array_compact(F.array(*tails)).alias("tails"), junk.alias("is_junk"))

@@ -10,9 +10,9 @@ from ..tables import table
 from .knn import nearest, similar_pairs
 from .mixing import Mix, mix_sources
 from .near_dup import NearDuplicates, document_pairs, duplicate_groups, near_duplicates
-from .packing import container_report, pack_documents
+from .packing import container_report, pack_documents, packing_check
 from .quality import STATS, text_quality, text_statistics
-from .split import split_long
+from .split import rejoined, split_long
 
 
 def entry_text() -> Column:
@@ -33,8 +33,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of every distinct long text of an entry."""
-    return split_long(table(spark, d, "context_entries").select("uri", "l2_full_text").dropDuplicates(["uri"]), "uri", "l2_full_text", 6000, 200)
+    """Pieces of every distinct long text of an entry; an entry of several texts has pieces of each."""
+    return split_long(table(spark, d, "context_entries").select("uri", "l2_full_text").distinct(), "uri", "l2_full_text", 6000, 200)
+
+
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The long texts put together again from their pieces; of an entry of several texts the smallest."""
+    one = table(spark, d, "context_entries").filter(F.length("l2_full_text") > 6000).groupBy("uri").agg(F.min("l2_full_text").alias("t"))
+    return rejoined(split_long(one, "uri", "t", 6000, 200), "uri", 200).select("uri", (F.col("longest") <= 6000).alias("fits"), "n_chars", "hash")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +73,10 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return container_report(keep(p8_pack(spark, d), "packed"), 2048)
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    return packing_check(keep(p8_pack(spark, d), "packed"), "doc_id", 2048)
+
+
 def _mix(spark: SparkSession, d: str) -> Mix:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
 
@@ -79,6 +89,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether no document is used more than allowed, every copy has a slot of its source's, and shares sum up."""
+    m = _mix(spark, d)
+    used = m.schedule.groupBy("source").agg(F.max("copy").alias("last"), F.min(F.col("slot").isNotNull()).alias("placed"), F.sum("n_tokens").alias("put"), F.count_distinct("slot").alias("slots"), F.count_distinct("block").alias("blocks"))
+    s = m.shares.join(used, "source", "left")
+    kept = (F.coalesce("last", F.lit(-1)) < F.col("max_repeats")) & F.coalesce("placed", F.lit(True)) & (F.coalesce("put", F.lit(0)) == F.col("tokens")) & F.coalesce(F.col("slots") == F.col("blocks"), F.lit(True))
+    return s.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", kept.alias("kept"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_quality(spark, d).filter("is_junk").select("doc_id").distinct()
 
@@ -92,7 +111,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in STATS[1:]])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_neighbours, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_quality, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p2_rejoined, p4_found, p4_neighbours, p8_pack, p8_containers, p8_check, p9_mix, p9_shares, p9_check, p10_found, p10_quality, p10_statistics)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower(CASE WHEN regexp_matches(coalesce(l2_full_text, ''), '\\S') THEN l2_full_text ELSE l0_abstract END), '[\\p{L}\\p{N}]+'))"
 
@@ -118,6 +137,9 @@ _VECTORS = """
 """
 
 ORACLES = {
+    "p2_rejoined": "SELECT uri, true AS fits, length(min(l2_full_text)) AS n_chars, md5(min(l2_full_text)) AS hash FROM context_entries WHERE length(l2_full_text) > 6000 GROUP BY uri",
+    "p8_check": "SELECT DISTINCT doc_id, true AS whole, true AS fits FROM documents",
+    "p9_check": "SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, round(sum(coalesce(target_share, 0)), 9) AS target_share, max(coalesce(max_repeats, 1)) AS max_repeats, true AS kept FROM mix_targets WHERE source IS NOT NULL GROUP BY 1",
     "p4_found": _VECTORS + " SELECT DISTINCT t AS vec_table, least(x, y) AS key_a, greatest(x, y) AS key_b FROM r WHERE i <= 5 AND s >= 0.9",
     "p2_found": "SELECT DISTINCT uri FROM context_entries WHERE length(l2_full_text) > 6000",
     "p10_statistics": _STATS + "SELECT doc_id, lang, n_words, round(mean_word_length, 6) AS mean_word_length, round(symbol_ratio, 6) AS symbol_ratio, round(line_end_ratio, 6) AS line_end_ratio, round(common_ratio, 6) AS common_ratio FROM s",

@@ -72,8 +72,9 @@ def split_long(df: DataFrame, id_col: str, text_col: str, limit: int = 6000, ove
     sentence, word and character; the parts are packed greedily up to the limit, and every
     piece but the first repeats the last ``overlap`` characters of the one before. So
     the first piece and the others without their first ``overlap`` characters make
-    up the text. Sections begin at a form feed, a heading or a rule. Between
-    characters no line end (CR LF), combining mark or joined symbol is cut apart.
+    up the text. Sections begin at a form feed, a heading or a rule. Where a piece ends between
+    characters, no line end (CR LF), combining mark or joined symbol is cut apart. Where it starts is settled by the
+    overlap, which is exact in code points: that may be within a word or a combined character.
 
     Result: the id, piece (from 0), start, end, cut (level of the boundary at its end), text. Texts up to
     the limit and null texts have no pieces; each row is cut by itself, so repeated rows
@@ -94,3 +95,11 @@ def split_long(df: DataFrame, id_col: str, text_col: str, limit: int = 6000, ove
 
     long = df.select(id_col, text_col).filter(F.length(text_col) > limit)
     return long.mapInArrow(run, f"`{id_col}` {kind}, piece int, start int, end int, cut string, text string")
+
+
+def rejoined(pieces_: DataFrame, id_col: str, overlap: int = 200) -> DataFrame:
+    """Per id, for one text each: n_pieces, longest piece, and the number of characters and hash of the text put together again."""
+    own = F.struct("piece", F.when(F.col("piece") == 0, F.col("text")).otherwise(F.expr(f"substring(text, {overlap + 1})")).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda p: p["t"]), "")
+    g = pieces_.groupBy(id_col).agg(F.count("*").alias("n_pieces"), F.max(F.length("text")).alias("longest"), whole.alias("whole"))
+    return g.select(id_col, "n_pieces", "longest", F.length("whole").alias("n_chars"), F.md5("whole").alias("hash"))

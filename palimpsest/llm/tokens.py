@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how the public byte-level vocabularies split a text before merging
@@ -35,3 +36,10 @@ def token_counts(df: DataFrame, text_col: str, tokenizer: str = TOKENIZER) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, pa.int64())], [*rest, "n_tokens"])
 
     return df.select(*rest, text_col).mapInArrow(run, f"{schema}, n_tokens bigint")
+
+
+def numbered_copies(sizes: DataFrame) -> DataFrame:
+    """Rows with ``nth`` (from 1) that tells equal rows apart and depends on nothing but the rows, and ``h``, a hash of both."""
+    cols = sizes.columns
+    counted = sizes.groupBy(*cols).agg(F.count("*").alias("nth"))
+    return counted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("nth")))).withColumn("h", F.xxhash64(*cols, "nth"))
