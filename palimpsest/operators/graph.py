@@ -140,6 +140,13 @@ def pagerank(edges: DataFrame, rounds: int = 32, damping: float = 0.85, start: D
     return now.select("node", "rank")
 
 
+def local_pagerank(edges: DataFrame, seeds: DataFrame, hops: int, rounds: int = 32) -> DataFrame:
+    """Rank of the nodes within ``hops`` of the seeds, either way, by the edges among them."""
+    near = reach(edges, seeds, hops, undirected=True).select("node")
+    inside = edges.join(near.withColumnRenamed("node", "from"), "from", "left_semi").join(near.withColumnRenamed("node", "to"), "to", "left_semi")
+    return pagerank(inside, rounds)
+
+
 def node_score(rank: Column, degree: Column) -> Column:
     return 0.72 * rank + 0.28 * F.least(degree / 12, F.lit(1.0))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import reaches
+
 
 def snapshot(deltas: DataFrame, depth: DataFrame) -> DataFrame:
     """Entries after replaying the deltas of a chain: per uri the newest change, deletes left out.
@@ -54,3 +56,14 @@ def heads(commits: DataFrame) -> DataFrame:
 def pick(parent: DataFrame, commit: DataFrame, target: DataFrame, key: str, value: str, prefer: str | None = None) -> DataFrame:
     """The change from parent to commit applied to the target: a three-way merge on the parent."""
     return three_way(parent, target, commit, key, value, {"ours": "ours", "theirs": "theirs"}.get(prefer or ""))
+
+
+def to_rebase(pairs: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Commits that a rebase of ``head`` onto ``onto`` (scope, head, onto) applies: scope, commit_id, back (steps from the head).
+
+    They are those of the head's first-parent path (node, path) before the first one that ``onto`` reaches or is. A head without path stands alone.
+    """
+    p = pairs.join(paths.select(F.col("node").alias("head"), "path"), "head", "left").select("scope", "onto", F.posexplode(F.reverse(F.coalesce("path", F.array("head")))).alias("back", "commit_id"))
+    known = reaches(edges, p.select(F.col("onto").alias("start"), F.col("commit_id").alias("goal")))
+    met = p.join(known.select(F.col("start").alias("onto"), F.col("goal").alias("commit_id")), ["onto", "commit_id"], "left_semi").groupBy("scope").agg(F.min("back").alias("stop"))
+    return p.join(met, "scope", "left").filter("stop is null or back < stop").select("scope", "commit_id", "back")

@@ -91,14 +91,45 @@ _FIRST_PARENT = """
   UNION ALL SELECT e.c, e.p, t.root, t.depth + 1, list_append(t.path, e.c) FROM t JOIN e ON e.p = t.node)
 """
 
+_TREE = f"""
+ WITH RECURSIVE {_FIRST_PARENT},
+ up(x, y) AS (SELECT c, p FROM e UNION SELECT up.x, e.p FROM up JOIN e ON e.c = up.y),
+ ring AS (SELECT DISTINCT x FROM up WHERE x = y),
+ b(node, parent, path) AS (
+  SELECT c, p, [c] FROM e WHERE p IN (SELECT x FROM ring) AND c NOT IN (SELECT x FROM ring)
+  UNION ALL SELECT e.c, e.p, list_append(b.path, e.c) FROM b JOIN e ON e.p = b.node),
+ every AS (SELECT node, parent, root, depth, path, 'tree' AS state FROM t UNION ALL SELECT node, parent, NULL, NULL, path, 'below_circle' FROM b UNION ALL SELECT x, e.p, NULL, NULL, NULL, 'circle' FROM ring JOIN e ON e.c = x),
+ below AS (SELECT a, node, i, n FROM (SELECT node, unnest(path) AS a, generate_subscripts(path, 1) AS i, len(path) AS n FROM every))
+"""
+# the feed replayed change by change: one list of (key, present, commit, seq of the value, seq of the last change) a scope
+_FEED = """
+ c AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY log_pos) AS i FROM (SELECT scope, log_pos, commit_id, uri, op, entry_json, rename_from, row_number() OVER (PARTITION BY scope, log_pos ORDER BY feed_pos) AS k FROM version_entry_deltas WHERE log_pos IS NOT NULL) WHERE k = 1 AND uri IS NOT NULL),
+ f AS (SELECT *, op IN ('add', 'update') AND entry_json IS NOT NULL AS sets, op = 'delete' AS deletes, coalesce(op = 'rename' AND rename_from <> uri, false) AS moves FROM c),
+ r(scope, i, st) AS (
+  SELECT DISTINCT scope, 0::BIGINT, [{'k': NULL::VARCHAR, 'p': false, 'v': NULL::VARCHAR, 's': NULL::BIGINT, 'l': NULL::BIGINT}][1:0] FROM f
+  UNION ALL
+  SELECT r.scope, f.i, CASE
+   WHEN sets THEN list_append(list_filter(st, lambda x: x.k <> f.uri), {'k': f.uri, 'p': true, 'v': f.commit_id, 's': f.log_pos, 'l': f.log_pos})
+   WHEN deletes THEN list_append(list_filter(st, lambda x: x.k <> f.uri), {'k': f.uri, 'p': false, 'v': NULL::VARCHAR, 's': NULL::BIGINT, 'l': f.log_pos})
+   WHEN moves THEN list_concat(list_filter(st, lambda x: x.k <> f.uri AND x.k <> f.rename_from),
+    [{'k': f.rename_from, 'p': false, 'v': NULL::VARCHAR, 's': NULL::BIGINT, 'l': f.log_pos},
+     CASE WHEN len(list_filter(st, lambda x: x.k = f.rename_from AND x.p)) > 0 THEN {'k': f.uri, 'p': true, 'v': list_filter(st, lambda x: x.k = f.rename_from)[1].v, 's': list_filter(st, lambda x: x.k = f.rename_from)[1].s, 'l': f.log_pos}
+      WHEN len(list_filter(st, lambda x: x.k = f.uri AND x.p)) > 0 THEN {'k': f.uri, 'p': true, 'v': list_filter(st, lambda x: x.k = f.uri)[1].v, 's': list_filter(st, lambda x: x.k = f.uri)[1].s, 'l': f.log_pos}
+      ELSE {'k': f.uri, 'p': false, 'v': NULL::VARCHAR, 's': NULL::BIGINT, 'l': f.log_pos} END])
+   ELSE st END
+  FROM r JOIN f ON f.scope IS NOT DISTINCT FROM r.scope AND f.i = r.i + 1),
+ z AS (SELECT scope, unnest(st) AS x FROM (SELECT scope, arg_max(st, i) AS st FROM r GROUP BY scope))
+"""
+
 ORACLES = {
     "p3_found": """
  WITH RECURSIVE e AS (SELECT DISTINCT commit_id AS c, parent_id AS p FROM version_commit_parents WHERE parent_id IS NOT NULL),
  r(s, x) AS (SELECT c, p FROM e UNION SELECT r.s, e.p FROM r JOIN e ON e.c = r.x)
  SELECT DISTINCT s AS commit_id FROM r WHERE s = x""",
-    "p3_descendants": f"""
- WITH RECURSIVE {_FIRST_PARENT}
- SELECT a AS ancestor, node AS descendant, CAST(depth - i + 1 AS INT) AS distance FROM (SELECT node, depth, unnest(path) AS a, generate_subscripts(path, 1) AS i FROM t) WHERE i <= depth""",
+    "p3_descendants": _TREE + " SELECT a AS ancestor, node AS descendant, CAST(n - i AS INT) AS distance FROM below WHERE i < n",
+    "p3_hierarchy": _TREE + " SELECT e.node, parent, root, depth::INT AS depth, path, CASE WHEN state <> 'circle' THEN (SELECT count(*) FROM below WHERE below.a = e.node) - 1 END AS n_descendants, state FROM every e",
+    "p6_found": f"WITH RECURSIVE {_FEED} SELECT DISTINCT x.k AS uri, x.v AS commit_id FROM z WHERE x.p",
+    "p6_state": f"WITH RECURSIVE {_FEED} SELECT z.scope, x.k AS uri, x.s AS value_seq, x.l AS last_seq, x.p AS present, x.v AS commit_id, c.entry_json FROM z LEFT JOIN c ON c.scope IS NOT DISTINCT FROM z.scope AND c.log_pos = x.s",
     "p5_found": f"WITH {LINKS_SQL} SELECT * FROM found",
     "p5_report": f"WITH {LINKS_SQL} SELECT ref_table, period, status, count(*) AS n_links, count(DISTINCT missing_key) AS n_keys FROM found GROUP BY ALL",
     "p7_found": _SURPLUS,

@@ -16,6 +16,7 @@ from ..operators import market as K
 from ..scratch import shared_dir
 from ..streaming import watch as S
 from ..tables import table
+from .q_scalars import _ONE as redact_sql
 from .fixtures import DX, FX, NOW, OX, Catalog, deltas, entries, now, votes
 
 query = Catalog()
@@ -38,7 +39,7 @@ _e("lc_rules", lambda: {"action": L.lifecycle_action(q5() - 0.1, F.exp(-F.abs(da
 _due = f"({DAYS} / 90)"
 _e("lc_review", lambda: {"task": L.review_task(F.col("state_scope"), days(), F.lit(90), q5())}, f"CASE WHEN state_scope IN ('Mid','Long') AND NOT ({_due} < 0.82 AND {Q5} >= 0.35) THEN CASE WHEN {_due} >= 1.75 AND {Q5} < 0.3 THEN 'Forget' WHEN {_due} >= 1.05 OR {Q5} < 0.45 THEN 'Revalidate' ELSE 'Rehearse' END END AS task")
 _e("lc_tier", lambda: {"tier": F.when(F.col("state_scope") == "Mid", "cold").otherwise("hot")}, "CASE WHEN state_scope = 'Mid' THEN 'cold' ELSE 'hot' END AS tier")
-_e("wr_sanitize", lambda: {"h": F.sha2(T.redact(F.col("l0")), 256)}, "sha256(regexp_replace(regexp_replace(l0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[redacted:email]', 'g'), '\\b[A-Za-z0-9_-]{24,}\\b', '[redacted:secret]', 'g')) AS h")
+_e("wr_sanitize", lambda: {"h": F.sha2(T.redact(F.col("l2")), 256)}, f"sha256(array_to_string(list_transform(list_filter(regexp_split_to_array(l2, '\\s+'), lambda x: x <> ''), lambda t: {redact_sql}), ' ')) AS h")
 _e("wr_pack", lambda: {"pack": F.to_json(F.struct("content_type", "mvcc_version"))}, "'{\"content_type\":\"' || content_type || '\",\"mvcc_version\":' || mvcc_version || '}' AS pack")
 _e("wr_blob", lambda: {"hash": F.sha2("l2", 256), "size": F.octet_length("l2").cast("bigint")}, "sha256(l2) AS hash, strlen(l2) AS size")
 
@@ -110,9 +111,6 @@ def q_active(s, d):
     return u.withColumn("k", F.row_number().over(W.partitionBy("tenant").orderBy(F.desc("uncertainty"), "uri"))).filter("k <= 3").select("tenant", "uri", "uncertainty")
 
 
-query.queries["h_curious"], query.oracles["h_curious"] = q_active, query.oracles["q_active"]
-
-
 @query(f"+ c AS (SELECT tenant, uri, round({DAYS} / 90, 6) AS due FROM fx) SELECT tenant, uri, due, (rank() OVER (PARTITION BY tenant ORDER BY due DESC, uri))::INT AS place FROM c")
 def w_review(s, d):
     return entries(s, d).select("tenant", "uri", F.round(days() / 90, 6).alias("due")).withColumn("place", F.rank().over(W.partitionBy("tenant").orderBy(F.desc("due"), "uri")))
@@ -342,9 +340,11 @@ def mk_fork(s, d):
     return t.select("tenant", F.when(F.col("share") >= 0.3, F.concat_ws(":", "tenant", "top")).otherwise(F.col("tenant")).alias("community"))
 
 
-@query()
+@query("SELECT uri, mvcc_version AS total, 3 AS n FROM fx")
 def mk_share(s, d):
-    return entries(s, d).select("uri", K.shares(F.col("mvcc_version"), 3).alias("shares"))
+    """Three shares of a number each, and what they add up to again."""
+    x = entries(s, d).select("uri", K.shares(F.col("mvcc_version"), 3).alias("s"))
+    return x.select("uri", F.pmod(F.aggregate("s", F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(2_147_483_647)).alias("total"), F.size("s").alias("n"))
 
 
 @query()
@@ -392,9 +392,6 @@ def td_skill(s, d):
     return vector_search(_v(s, d), q, 10, F.col("label") == 2).select("uri", F.round("score", 6).alias("score"))
 
 
-query.queries["cs_rif"], query.oracles["cs_rif"] = td_skill, query.oracles["td_skill"]
-
-
 @query("SELECT scope, commit_id, log_pos, op FROM dx WHERE op <> 'noop'", DX)
 def td_encode(s, d):
     return deltas(s, d).filter("op <> 'noop'").select("scope", "commit_id", "log_pos", "op")

@@ -69,9 +69,6 @@ def v_semdiff(s, d):
     return D.field_changes(v, "uri", "version", "j")
 
 
-query.queries["f_jsondiff"], query.oracles["f_jsondiff"] = v_semdiff, query.oracles["v_semdiff"]
-
-
 @query("+ r AS (SELECT uri, coalesce(quality, 0.5e0) AS q, (SELECT count(*) FROM fx b WHERE coalesce(b.quality, 0.5e0) > coalesce(fx.quality, 0.5e0)) AS above FROM fx) SELECT uri, CASE WHEN q <= 0.22 THEN 'cull' WHEN above < ceil(0.35 * (SELECT count(*) FROM fx)) THEN 'elite' ELSE 'keep' END AS fate FROM r")
 def mk_evolve(s, d):
     return D.generations(entries(s, d).select("uri", F.coalesce("quality", F.lit(0.5)).alias("q")), "q").select("uri", "fate")

@@ -269,19 +269,6 @@ def pack_scope(s, d):
     return S.by_prefix(entries(s, d), "uwu://t-moti").select("uri")
 
 
-@query("SELECT a.uri, coalesce(b.l0, a.l0) AS text FROM fx a LEFT JOIN (SELECT * FROM fx WHERE content_type = 'profile') b ON b.uri = a.uri WHERE a.content_type IN ('profile', 'goal')")
-def inherit_resolve(s, d):
-    e = entries(s, d).filter(F.col("content_type").isin("profile", "goal"))
-    own = e.filter("content_type = 'profile'").select("uri", F.col("l0").alias("own"))
-    return e.join(own, "uri", "left").select("uri", F.coalesce("own", "l0").alias("text"))
-
-
-@query("+ v AS (SELECT DISTINCT lang, min(word) AS w FROM common_words GROUP BY lang) SELECT 'uwu://{tenant}/tmpl' || lang AS template, replace('hello {w}', '{w}', w) AS text FROM v")
-def tmpl_inst(s, d):
-    v = table(s, d, "common_words").groupBy("lang").agg(F.min("word").alias("w"))
-    return v.select(F.concat(F.lit("uwu://{tenant}/tmpl"), "lang").alias("template"), F.replace(F.lit("hello {w}"), F.lit("{w}"), F.col("w")).alias("text"))
-
-
 @query("SELECT DISTINCT c.uri FROM context_entries c JOIN (SELECT split_part(uri, '/', 3) AS t, min(tenant_id) AS m FROM context_entries GROUP BY 1) x ON x.t = split_part(c.uri, '/', 3) WHERE c.tenant_id = x.m")
 def tenant_bind(s, d):
     c = table(s, d, "context_entries").withColumn("t", U.tenant(F.col("uri")))

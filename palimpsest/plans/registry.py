@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, q_aggregates, q_graph, q_lifecycle, q_more, q_scalars, q_scans
+from . import problems, q_aggregates, q_beliefs, q_graph, q_lifecycle, q_more, q_scalars, q_scans
 
-MODULES = [problems, q_scans, q_scalars, q_aggregates, q_graph, q_lifecycle, q_more]
+MODULES = [problems, q_scans, q_scalars, q_aggregates, q_graph, q_lifecycle, q_more, q_beliefs]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
