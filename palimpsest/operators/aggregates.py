@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import previous
+
 
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
@@ -130,8 +131,7 @@ def temperature(df: DataFrame, logit: Column, target: Column) -> DataFrame:
     return df.agg(clamp(F.avg(logit / target), 0.5, 3.0).alias("temperature"))
 
 
-def thrash(df: DataFrame, scope: str, at: list[str], message: str) -> DataFrame:
-    """Consecutive commits with the same message, and empty messages, per scope."""
-    w = W.partitionBy(scope).orderBy(*at)
-    t = df.withColumn("again", F.coalesce(F.lag(message).over(w) == F.col(message), F.lit(False)))
+def thrash(df: DataFrame, scope: str, at: Column, order: list[Column], message: str) -> DataFrame:
+    """Consecutive commits with the same message, and empty messages, per scope. ``at``: a number to order by."""
+    t = previous(df, [scope], at, order, F.col(message), "_before").withColumn("again", F.coalesce(F.col("_before") == F.col(message), F.lit(False)))
     return t.groupBy(scope).agg(F.count("*").alias("n"), F.count(F.when(F.col("again"), 1)).alias("repeats"), F.count(F.when(F.trim(F.coalesce(F.col(message), F.lit(""))) == "", 1)).alias("empty"))

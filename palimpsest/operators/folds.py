@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from ..scratch import keep
+from .ordered import numbered, running
+from .ranking import _unit_rows
 
 
-def moving_average(df: DataFrame, key: str, order: list[str], value: Column, keep: float, start: float) -> DataFrame:
-    """Last value of x' = keep x + (1-keep) v over the rows of a key in order.
+def moving_average(df: DataFrame, key: str, at: Column, order: list[Column], value: Column, keep: float, start: float) -> DataFrame:
+    """Last value of x' = keep x + (1-keep) v over the rows of a key in order; ``at`` is a number, ``order`` breaks its ties, newest first.
 
     In closed form every row weighs (1-keep) keep^(rows after it), so the fold
     is a sum; no row list is built.
     """
-    w = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    r = df.withColumn("after", F.row_number().over(w) - 1).withColumn("v", value.cast("double"))
+    r = numbered(df.withColumn("v", value.cast("double")), [key], -at, order, "_back").withColumn("after", F.col("_back") - 1)
     s = r.groupBy(key).agg(F.count("*").alias("n"), F.sum((1 - keep) * F.pow(F.lit(keep), F.col("after")) * F.col("v")).alias("s"))
     return s.select(key, "n", (F.col("s") + start * F.pow(F.lit(keep), F.col("n"))).alias("average"))
 
 
-def shrinking_step(df: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
+def shrinking_step(df: DataFrame, key: str, at: Column, order: list[Column], value: Column) -> DataFrame:
     """Last value of x' = x + (v - x)/sqrt(i) over the rows of a key; the first row sets it."""
-    i = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    r = df.withColumn("i", i).withColumn("v", value.cast("double"))
+    r = numbered(df.withColumn("v", value.cast("double")), [key], at, order, "i")
     stay = F.when(F.col("i") > 1, F.log(1 - 1 / F.sqrt("i"))).otherwise(0.0)
-    r = r.withColumn("later", F.coalesce(F.sum(stay).over(W.partitionBy(key).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    # what comes later: all of it less what there is up to here
+    r = running(r, [key], F.col("i"), [], stay, "_so_far")
+    whole = r.groupBy(F.col(key).alias("_key")).agg(F.min("_so_far").alias("_whole"))
+    r = r.join(whole, F.col(key).eqNullSafe(F.col("_key"))).withColumn("later", F.col("_whole") - F.col("_so_far"))
     return r.groupBy(key).agg(F.sum(F.col("v") / F.sqrt("i") * F.exp("later")).alias("estimate"))
 
 
-def within_budget(df: DataFrame, key: str, order: list[Column], cost: Column, budget: float) -> DataFrame:
+def within_budget(df: DataFrame, key: str, at: Column, order: list[Column], cost: Column, budget: float) -> DataFrame:
     """Rows in order with their running cost and whether that stays within the budget."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).withColumn("granted", F.col("spent") <= budget)
+    return running(df, [key], at, order, cost, "spent").withColumn("granted", F.col("spent") <= budget)
 
 
 def planes(n: int, dim: int) -> list[list[float]]:
@@ -57,12 +64,57 @@ def signature(v: Column, bits: int, dim: int, table: int = 0) -> Column:
     return out
 
 
-def bucket_pairs(df: DataFrame, least: float, bits: int = 6, tables: int = 6, dim: int = 64) -> DataFrame:
-    """Pairs (a < b) that share a bucket in some table and have a cosine of ``least`` or more; verified, so none is wrong, but some may be missed."""
-    keyed = df.select("uri", "embedding", F.posexplode(F.array(*[signature(F.col("embedding"), bits, dim, t) for t in range(tables)])).alias("t", "bucket"))
-    a, b = keyed.select("t", "bucket", F.col("uri").alias("a"), F.col("embedding").alias("ea")), keyed.select("t", "bucket", F.col("uri").alias("b"), F.col("embedding").alias("eb"))
-    near = a.join(b, ["t", "bucket"]).filter("a < b").withColumn("similarity", V.cosine(F.col("ea"), F.col("eb"))).filter(F.col("similarity") >= least)
-    return near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+def similar_vectors(df: DataFrame, key: str, vec: str, least: float, centers: int = 64, rows: int = 8_192) -> DataFrame:
+    """All pairs (a < b) of a cosine of ``least`` or more: a, b, similarity. No pair is lost.
+
+    Every vector has its home at the nearest of some centres (vectors taken by hash). Where an angle of d joins two
+    vectors, the angle of one to the other's centre is at most 2 d more than to its own; so each is a guest at every centre
+    within that, and meets the vectors at home there in parts of about ``rows``. Loose vectors are guests at many centres:
+    the work then nears that of all pairs, as an exact join's must. Vectors of length zero, or with null or
+    non-finite numbers, have no similarity; all others must have one length. A key that occurs twice counts once.
+    """
+    good = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300)) & F.exists(vec, lambda x: x != 0)
+    v = keep(df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).filter(F.col("k").isNotNull() & good).groupBy("k").agg(F.min("v").alias("v")), "vectors")
+    n = v.count()
+    share = min(1.0, 2 * centers / max(1, n))
+    picked = v.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share * (1 << 30)).orderBy(F.xxhash64("k", F.lit(1)), "k").limit(centers).toArrow()
+    c = _unit_rows(picked.column("v")) if picked.num_rows else None
+    if c is None:
+        c = _unit_rows(v.limit(1).toArrow().column("v"))
+    reach = 2 * np.arccos(np.clip(least, -1, 1)) + 1e-9
+    kind = v.schema["k"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                angle = np.arccos(np.clip(_unit_rows(b.column(1)) @ c.T, -1, 1))
+                home = angle.argmin(axis=1)
+                r, at = np.nonzero(angle <= angle.min(axis=1)[:, None] + reach)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array(at, pa.int32()), pa.array(home[r] == at)], ["k", "v", "cell", "home"])
+
+    placed = keep(v.mapInArrow(place, f"k {kind}, v array<double>, cell int, home boolean"), "placed")
+    parts = placed.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("home"), 1)) / rows)).cast("int").alias("hosts"), F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).cast("int").alias("guests"))
+    x = placed.join(F.broadcast(parts), "cell").withColumn("h", F.pmod(F.xxhash64("k"), F.col("hosts")).cast("int")).withColumn("g", F.pmod(F.xxhash64("k"), F.col("guests")).cast("int"))
+    hosts = x.filter("home").select("cell", F.col("h").alias("host"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"), F.lit(True).alias("own"), "k", "v")
+    guests = x.select("cell", F.explode(F.sequence(F.lit(0), F.col("hosts") - 1)).alias("host"), F.col("g").alias("guest"), F.lit(False).alias("own"), "k", "v")
+
+    def meet(group: pa.Table) -> pa.Table:
+        own = group.column("own").to_numpy()
+        keys, unit = group.column("k"), _unit_rows(group.column("v"))
+        mine, theirs = np.flatnonzero(own), np.flatnonzero(~own)
+        i, j, s = [], [], []
+        for at in range(0, len(theirs), 1024):
+            some = theirs[at : at + 1024]
+            near = unit[some] @ unit[mine].T
+            r, q = np.nonzero(near >= least)
+            i.append(some[r])
+            j.append(mine[q])
+            s.append(near[r, q])
+        cat = lambda z, t: np.concatenate(z) if z else np.zeros(0, t)
+        return pa.table({"x": keys.take(pa.array(cat(i, np.int64))), "y": keys.take(pa.array(cat(j, np.int64))), "similarity": pa.array(cat(s, np.float64))})
+
+    met = hosts.unionByName(guests).groupBy("cell", "host", "guest").applyInArrow(meet, f"x {kind}, y {kind}, similarity double").filter("x <> y")
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def field_changes(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
@@ -77,10 +129,10 @@ def field_changes(df: DataFrame, key: str, order: str, payload: str) -> DataFram
 def generations(df: DataFrame, fitness: str, cull: float = 0.22, elite: float = 0.35) -> DataFrame:
     """Fate of each row by fitness: culled at or under ``cull``, else elite among the best ``elite`` of all, else kept.
 
-    Ranks come from counts per value, so no task sorts all rows.
+    Ranks come from counts per value, numbered over ranges of the value, so no task sorts all rows or all values.
     """
     n = df.count()
-    c = df.groupBy(fitness).agg(F.count("*").alias("c"))
-    better = c.withColumn("above", F.coalesce(F.sum("c").over(W.orderBy(F.desc(fitness)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(fitness, "above")
+    c = df.groupBy(fitness).agg(F.count("*").alias("c")).withColumn("_all", F.lit(0))
+    better = running(c, ["_all"], -F.col(fitness), [], F.col("c"), "_up").select(fitness, (F.col("_up") - F.col("c")).alias("above"))
     fate = F.when(F.col(fitness) <= cull, "cull").when(F.col("above") < F.ceil(F.lit(elite * n)), "elite").otherwise("keep")
     return df.join(better, fitness).withColumn("fate", fate)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import keep
 
 
 def lifecycle_action(composite: Column, recency: Column, frequency: Column, tenant_weight: Column, tags: Column) -> Column:
@@ -34,13 +35,16 @@ def changed_rows(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame
 def write_duplicates(df: DataFrame, group: list[str], least: float = 0.86, least_tokens: int = 5) -> DataFrame:
     """Pairs of entries of one group whose token sets have a Jaccard similarity of ``least`` or more.
 
-    Pairs are found through shared prefix words: tokens in order by hash, only
-    the first ``n - ceil(least n) + 1`` of each; no similar pair is lost.
+    Pairs are found through shared words among the rarest ``n - ceil(least n) + 1`` of each, so common words bring
+    nobody together that a rare one does not; no similar pair is lost. A null in the group is a value of its own.
     """
-    t = df.select("uri", F.concat_ws("/", *group).alias("g"), T.terms(F.col("l0"), 2).alias("t")).filter(F.size("t") >= least_tokens)
-    t = t.withColumn("t", F.transform(F.array_sort(F.transform("t", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"]))
-    prefix = F.slice("t", F.lit(1), (F.size("t") - F.ceil(F.size("t") * least - 1e-9) + 1).cast("int"))
-    p = t.select("uri", "g", F.explode(prefix).alias("w"), F.size("t").alias("n"))
+    t = keep(df.select("uri", F.to_json(F.struct(*group)).alias("g"), T.terms(F.col("l0"), 2).alias("t")).filter(F.size("t") >= least_tokens), "texts")
+    often = t.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    ranked = t.select("uri", "g", F.explode("t").alias("w")).join(often, "w").groupBy("uri", "g").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("r"))
+    n = F.size("r")
+    rare = F.slice("r", F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int"))
+    # a word that only one text has brings nobody together
+    p = ranked.select("uri", "g", n.alias("n"), F.explode(F.filter(rare, lambda e: e["c"] > 1)).alias("e")).select("uri", "g", "n", "e.w")
     a, b = p.select("g", "w", F.col("uri").alias("a"), F.col("n").alias("na")), p.select("g", "w", F.col("uri").alias("b"), F.col("n").alias("nb"))
     c = a.join(b, ["g", "w"]).filter((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)).select("a", "b").distinct()
     s = t.select("uri", "t")

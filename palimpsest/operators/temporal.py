@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import micros, numbered, previous
+
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row per key, by aggregation."""
@@ -53,8 +55,7 @@ def version_diff(versions: DataFrame, a: int, b: int) -> DataFrame:
 
 def prune(checkpoints: DataFrame, protected: DataFrame, hot: int, cold: int, every: int) -> DataFrame:
     """Checkpoints to drop per scope: beyond the ``hot`` newest, unless protected or among the ``cold`` newest of each ``every``-th one."""
-    w = W.partitionBy("scope").orderBy(F.desc("committed_at"), F.desc("id"))
-    ranked = checkpoints.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") > hot)
+    ranked = numbered(checkpoints, ["scope"], -micros(F.col("committed_at")), [F.desc("id")], "rn").filter(F.col("rn") > hot)
     kept = ranked.withColumn("cold", F.floor((F.col("rn") - hot - 1) / every)).withColumn("first", (F.col("rn") - hot - 1) % every == 0)
     return kept.filter(~(F.col("first") & (F.col("cold") < cold))).join(protected, "id", "left_anti").select("id", "scope", "rn")
 
@@ -68,7 +69,6 @@ def gaps(df: DataFrame, key: str, at: str) -> DataFrame:
 
 def lagged_effect(changes: DataFrame, group: str, order: str, cause: Column, effect: Column) -> DataFrame:
     """Risk of the effect right after the cause, and without it, per group, and the weighted difference over groups."""
-    w = W.partitionBy(group).orderBy(order)
-    t = changes.withColumns({"c": F.lag(cause.cast("int")).over(w), "e": effect.cast("int")}).filter("c is not null")
+    t = previous(changes.withColumn("e", effect.cast("int")), [group], F.col(order), [], cause.cast("int"), "c").filter("c is not null")
     g = t.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.when(F.col("c") == 1, F.col("e"))).alias("p1"), F.avg(F.when(F.col("c") == 0, F.col("e"))).alias("p0")).filter("p1 is not null and p0 is not null")
     return g.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * (F.col("p1") - F.col("p0"))) / F.sum("n")).alias("risk_difference"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vec as VEC
 from ..operators import aggregates as A
 from ..operators import temporal as M
+from ..operators.ordered import micros
 from ..operators import ranking as R
 from ..operators.ranking import per_group
 from ..tables import table
@@ -278,7 +279,7 @@ def a_recall(s, d):
 
 @query("+ t AS (SELECT scope, message, coalesce(lag(message) OVER (PARTITION BY scope ORDER BY committed_at, id) = message, false) AS again FROM cx) SELECT scope, count(*) AS n, count(*) FILTER (again) AS repeats, count(*) FILTER (trim(coalesce(message, '')) = '') AS empty FROM t GROUP BY scope", CX)
 def a_sentinel(s, d):
-    return A.thrash(commits(s, d), "scope", ["committed_at", "id"], "message")
+    return A.thrash(commits(s, d), "scope", micros(F.col("committed_at")), [F.asc("id")], "message")
 
 
 query.queries["w_thrash"], query.oracles["w_thrash"] = a_sentinel, query.oracles["a_sentinel"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import versioning as V
 from ..operators.components import connected_components
+from ..operators.ordered import micros, numbered, previous
 from .fixtures import CX, DX, EX, VX, Catalog, commits, deltas, edges, entries, versions
 
 query = Catalog()
@@ -84,9 +85,6 @@ def g_community(s, d):
     return connected_components(edges(s, d), "from", "to")
 
 
-query.queries["g_cc_dedup"], query.oracles["g_cc_dedup"] = g_community, query.oracles["g_community"]
-
-
 def _rank_sql(rounds: int) -> str:
     steps = [f"{EX}, a AS (SELECT DISTINCT f, t FROM ex), o AS (SELECT f, count(*) AS c FROM a GROUP BY f), n AS (SELECT f AS x FROM a UNION SELECT t FROM a), k AS (SELECT count(*) AS n FROM n), r0 AS MATERIALIZED (SELECT x, 1.0e0 / (SELECT n FROM k) AS r, c FROM n LEFT JOIN o ON o.f = n.x)"]
     for i in range(rounds):
@@ -186,7 +184,8 @@ def g_rank_nodes(s, d):
 
 def _chain(s, d):
     """Commits of each scope by age, newest first."""
-    return commits(s, d).select(F.col("id").alias("commit_id"), (F.row_number().over(W.partitionBy("scope").orderBy(F.desc("committed_at"), F.desc("id"))) - 1).alias("depth"))
+    c = numbered(commits(s, d).select("scope", "id", "committed_at"), ["scope"], -micros(F.col("committed_at")), [F.desc("id")], "n")
+    return c.select(F.col("id").alias("commit_id"), (F.col("n") - 1).alias("depth"))
 
 
 CHAIN = f"{CX}, {DX}, ch AS (SELECT id AS commit_id, row_number() OVER (PARTITION BY scope ORDER BY committed_at DESC, id DESC) - 1 AS depth FROM cx), ev AS (SELECT commit_id, log_pos, uri, op FROM dx WHERE op IN ('add','update','delete','rename') UNION ALL SELECT commit_id, log_pos, rename_from, 'delete' FROM dx WHERE op = 'rename' AND rename_from IS NOT NULL)"
@@ -358,7 +357,7 @@ def v_commit(s, d):
 @query("+ f AS (SELECT f, min(t) AS t FROM ex WHERE kind = 'derived_from' GROUP BY f), o AS (SELECT id, lag(id) OVER (PARTITION BY scope ORDER BY committed_at, id) AS before FROM cx) SELECT o.id, coalesce(f.t = o.before, false) AS follows FROM o LEFT JOIN f ON f.f = o.id", f"{EX}, {CX}")
 def w_squash(s, d):
     p = edges(s, d).filter("kind = 'derived_from'").groupBy(F.col("from").alias("id")).agg(F.min("to").alias("t"))
-    o = commits(s, d).withColumn("before", F.lag("id").over(W.partitionBy("scope").orderBy("committed_at", "id")))
+    o = previous(commits(s, d).select("scope", "id", "committed_at"), ["scope"], micros(F.col("committed_at")), [F.asc("id")], F.col("id"), "before")
     return o.join(p, "id", "left").select("id", F.coalesce(F.col("t") == F.col("before"), F.lit(False)).alias("follows"))
 
 

@@ -13,6 +13,7 @@ from ..operators import aggregates as A
 from ..operators import budget as B
 from ..operators import lifecycle as L
 from ..operators import market as K
+from ..operators.ordered import numbered
 from ..scratch import shared_dir
 from ..streaming import watch as S
 from ..tables import table
@@ -113,7 +114,7 @@ def q_active(s, d):
 
 @query(f"+ c AS (SELECT tenant, uri, round({DAYS} / 90, 6) AS due FROM fx) SELECT tenant, uri, due, (rank() OVER (PARTITION BY tenant ORDER BY due DESC, uri))::INT AS place FROM c")
 def w_review(s, d):
-    return entries(s, d).select("tenant", "uri", F.round(days() / 90, 6).alias("due")).withColumn("place", F.rank().over(W.partitionBy("tenant").orderBy(F.desc("due"), "uri")))
+    return numbered(entries(s, d).select("tenant", "uri", F.round(days() / 90, 6).alias("due")), ["tenant"], -F.col("due"), [F.asc("uri")], "place")
 
 
 # consolidation
@@ -404,10 +405,18 @@ def td_reflect(s, d):
     return find(entries(s, d), None, "*a*", "reflection").select("uri")
 
 
-@query("SELECT array_to_string(string_split(uri, '/')[1:7], '/') AS dir, count(*) AS n, string_agg(substr(l0, 1, 20), ' | ' ORDER BY uri) AS summary FROM fx GROUP BY 1")
+@query("+ a AS (SELECT uri, l0, string_split(uri, '/') AS s, unnest(range(3, len(string_split(uri, '/')))) AS i FROM fx), g AS (SELECT array_to_string(s[1:i], '/') AS dir, i::INT AS level, s[i + 1] AS child, uri, l0 FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY uri) AS k FROM g) SELECT dir, level, count(*) AS n, count(DISTINCT child) AS n_children, array_to_string(list(l0 ORDER BY k) FILTER (k <= 3), ' | ') AS summary FROM k GROUP BY dir, level")
 def px_rollup(s, d):
-    e = entries(s, d).select(F.array_join(F.slice(F.split("uri", "/"), 1, 7), "/").alias("dir"), "uri", F.substring("l0", 1, 20).alias("x"))
-    return e.groupBy("dir").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("uri", "x"))), lambda v: v["x"]), " | ").alias("summary"))
+    """Every directory, up to the tenant's, with its entries, children, and the abstracts of its first three entries."""
+    seg = F.split("uri", "/")
+    e = entries(s, d).select("uri", "l0", seg.alias("s"), F.explode(F.sequence(F.lit(3), F.size(seg) - 1)).alias("level"))
+    g = e.select(F.array_join(F.slice("s", F.lit(1), F.col("level")), "/").alias("dir"), "level", F.get("s", F.col("level")).alias("child"), "uri", "l0")
+    # the first three of each of 64 parts, then of the directory: a large one is no task of its own
+    few = g.withColumn("part", F.pmod(F.xxhash64("uri"), F.lit(64)))
+    few = few.withColumn("k", F.row_number().over(W.partitionBy("dir", "part").orderBy("uri"))).filter("k <= 3")
+    few = few.withColumn("k", F.row_number().over(W.partitionBy("dir").orderBy("uri"))).filter("k <= 3")
+    text = few.groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "l0"))), lambda x: x["l0"]), " | ").alias("summary"))
+    return g.groupBy("dir", "level").agg(F.count("*").alias("n"), F.countDistinct("child").alias("n_children")).join(text, "dir")
 
 
 @query("SELECT agent, count(*) AS n, sha256(string_agg(uri, ',' ORDER BY created_at, uri)) AS archive FROM fx GROUP BY agent")

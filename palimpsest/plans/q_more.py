@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import folds as D
 from ..operators import market as K
+from ..operators.components import connected_components
+from ..operators.ordered import micros
 from ..tables import table
 from . import problems
 from .fixtures import CLX, Catalog, claims, entries, now
@@ -19,28 +21,28 @@ _EMA = "+ r AS (SELECT user_id, {v} AS v, row_number() OVER (PARTITION BY user_i
 
 @query(_EMA.format(v="(event_type IN ('purchase', 'signup'))::INT"), NONE)
 def a_feedback(s, d):
-    return D.moving_average(table(s, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type").isin("purchase", "signup"), 0.9, 0.5).withColumn("average", F.round("average", 6))
+    return D.moving_average(table(s, d, "events"), "user_id", micros(F.col("ts")), [F.desc("event_id")], F.col("event_type").isin("purchase", "signup"), 0.9, 0.5).withColumn("average", F.round("average", 6))
 
 
 @query(_EMA.format(v="least(value, 100.0) / 100"), NONE)
 def ln_feedback(s, d):
-    return D.moving_average(table(s, d, "events"), "user_id", ["ts", "event_id"], F.least(F.col("value"), F.lit(100.0)) / 100, 0.9, 0.5).withColumn("average", F.round("average", 6))
+    return D.moving_average(table(s, d, "events"), "user_id", micros(F.col("ts")), [F.desc("event_id")], F.least(F.col("value"), F.lit(100.0)) / 100, 0.9, 0.5).withColumn("average", F.round("average", 6))
 
 
 @query("+ r AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), q AS (SELECT *, coalesce(sum(CASE WHEN i > 1 THEN ln(1 - 1 / sqrt(i)) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM r) SELECT user_id, round(sum(v / sqrt(i) * exp(later)), 5) AS estimate FROM q GROUP BY user_id", NONE)
 def a_trait(s, d):
-    return D.shrinking_step(table(s, d, "events"), "user_id", ["ts", "event_id"], F.col("value")).withColumn("estimate", F.round("estimate", 5))
+    return D.shrinking_step(table(s, d, "events"), "user_id", micros(F.col("ts")), [F.asc("event_id")], F.col("value")).withColumn("estimate", F.round("estimate", 5))
 
 
 @query("+ q AS (SELECT tenant, uri, round(sum(0.1) OVER (PARTITION BY tenant ORDER BY updated_at, uri ROWS UNBOUNDED PRECEDING), 6) AS spent FROM fx) SELECT tenant, uri, spent, spent <= 0.55 AS granted FROM q")
 def fd_budget(s, d):
-    b = D.within_budget(entries(s, d), "tenant", [F.asc("updated_at"), F.asc("uri")], F.lit(0.1), 0.55)
+    b = D.within_budget(entries(s, d), "tenant", micros(F.col("updated_at")), [F.asc("uri")], F.lit(0.1), 0.55)
     return b.select("tenant", "uri", F.round("spent", 6).alias("spent"), "granted")
 
 
-@query("+ q AS (SELECT agent, uri, sum(ceil(length(l0) / 4))::BIGINT AS c FROM fx GROUP BY ALL), r AS (SELECT agent, uri, (sum(c) OVER (PARTITION BY agent ORDER BY uri ROWS UNBOUNDED PRECEDING))::BIGINT AS spent FROM q) SELECT agent, uri, spent FROM r WHERE spent <= 200")
+@query("+ q AS (SELECT agent, uri, updated_at, ceil(length(l0) / 4)::BIGINT AS c FROM fx), r AS (SELECT agent, uri, (sum(c) OVER (PARTITION BY agent ORDER BY updated_at DESC, uri ROWS UNBOUNDED PRECEDING))::BIGINT AS spent FROM q) SELECT agent, uri, spent FROM r WHERE spent <= 200")
 def bd_prompt(s, d):
-    b = D.within_budget(entries(s, d), "agent", [F.asc("uri")], F.ceil(F.length("l0") / 4), 200)
+    b = D.within_budget(entries(s, d), "agent", -micros(F.col("updated_at")), [F.asc("uri")], F.ceil(F.length("l0") / 4), 200)
     return b.filter("granted").select("agent", "uri", "spent")
 
 
@@ -58,9 +60,23 @@ def f_lsh_idx(s, d):
     return _vec(s, d).select("uri", D.signature(F.col("embedding"), 8, 64).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.min("uri").alias("first"))
 
 
-@query()
+_SIM = "v AS (SELECT id, min(e) AS e FROM (SELECT id, pattern_signature::DOUBLE[] AS e FROM antibodies) WHERE id IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY id), l AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id < b.id)"
+
+
+def _similar(s, d):
+    v = table(s, d, "antibodies").select("id", F.col("pattern_signature").cast("array<double>").alias("v")).filter(F.size("v") == 64)
+    return D.similar_vectors(v, "id", "v", 0.9)
+
+
+@query("SELECT a, b, round(s, 5) AS similarity FROM l WHERE s >= 0.9", _SIM)
 def join_self_similar(s, d):
-    return D.bucket_pairs(_vec(s, d), 0.9)
+    return _similar(s, d).withColumn("similarity", F.round("similarity", 5))
+
+
+@query("+ u AS (SELECT a AS x, b AS y FROM l WHERE s >= 0.9 UNION SELECT b, a FROM l WHERE s >= 0.9), r(x, y) AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON u.x = r.y) SELECT x AS node, least(x, min(y)) AS cluster FROM r GROUP BY x", _SIM)
+def g_cc_dedup(s, d):
+    """Clusters of at least two patterns that a chain of similar pairs joins."""
+    return connected_components(_similar(s, d).select("a", "b")).withColumnRenamed("component", "cluster")
 
 
 @query("+ v AS (SELECT uri, mvcc_version AS version, arg_min(entry_json, ingested_at) AS j FROM context_versions WHERE uri IS NOT NULL GROUP BY uri, mvcc_version), p AS (SELECT uri, version, j, lag(j) OVER (PARTITION BY uri ORDER BY version) AS b FROM v), k AS (SELECT uri, version, j, b, unnest(list_distinct(list_concat(json_keys(j), json_keys(b)))) AS field FROM p WHERE json_valid(j) AND json_valid(b)) SELECT uri, version, field, json_extract_string(b, '$.' || field) AS old, json_extract_string(j, '$.' || field) AS new FROM k WHERE json_extract_string(b, '$.' || field) IS DISTINCT FROM json_extract_string(j, '$.' || field)", NONE)

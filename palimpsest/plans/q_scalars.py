@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vec as V
-from ..operators.aggregates import clamp
+from ..operators import quantize as Q
+from ..operators.aggregates import centroids, clamp
 from ..tables import table
 from .fixtures import FX, Catalog, entries, now
 
@@ -173,14 +174,21 @@ _vec("f_l2", lambda a, b: V.norm(V.clip(a, 0.5)), "least(0.5, sqrt(list_dot_prod
 _vec("f_capability", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: (x > 0) & (y > 0)), lambda t: t)) / F.greatest(F.lit(1), F.size(F.filter(a, lambda x: x > 0))), "len(list_filter(list_zip(ea, eb), lambda t: t[1] > 0 AND t[2] > 0)) / greatest(1, len(list_filter(ea, lambda t: t > 0)))")
 
 
-@query("SELECT vec_id, arg_min(c, (dist, c)) AS code FROM (SELECT v.vec_id, k.vec_id AS c, round(list_distance(v.e[1:8], k.e[1:8]), 7) AS dist FROM v, (SELECT * FROM v WHERE vec_id < 16) k) GROUP BY vec_id", "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+_BOOK = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY label, i) GROUP BY label)"
+
+
+@query("+ x AS (SELECT vec_id, s, m.label, round(list_distance(e[8 * s + 1:8 * s + 8], c[8 * s + 1:8 * s + 8]), 7) AS dist FROM v, m, range(8) t(s)), b AS (SELECT vec_id, s, arg_min(label, (dist, label)) AS code FROM x GROUP BY vec_id, s) SELECT vec_id, list(code ORDER BY s) AS codes FROM b GROUP BY vec_id", _BOOK)
 def f_pq_encode(s, d):
-    """Nearest of 16 code words for the first sub-vector; the code book has a fixed size and travels as a literal."""
+    """Codes of all eight stretches, with the stretches of the labels' centroids as code book."""
     e = table(s, d, "embeddings")
-    book = [(r["vec_id"], [float(x) for x in r["embedding"][:8]]) for r in e.filter("vec_id < 16").orderBy("vec_id").collect()]
-    sub = F.slice("embedding", 1, 8)
-    options = F.array(*[F.struct(F.round(F.sqrt(V.squared_distance(sub, V.literal(v))), 7).alias("dist"), F.lit(c).alias("c")) for c, v in book])
-    return e.select("vec_id", F.array_min(options)["c"].alias("code"))
+    c = centroids(e, "label", "embedding")
+    book = c.select("label", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("stretch"), "centroid").select("stretch", F.col("label").cast("int").alias("code"), F.slice("centroid", 8 * F.col("stretch") + 1, F.lit(8)).alias("word"))
+    return Q.encode(e, book, "vec_id", "embedding")
+
+
+@query()
+def f_pq_train(s, d):
+    return Q.train_codebook(table(s, d, "embeddings"), "vec_id", "embedding")
 
 
 QUERIES, ORACLES = query.queries, query.oracles
