@@ -47,3 +47,30 @@ def knapsack(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
 def fit_budget(hits: DataFrame, budget: int) -> DataFrame:
     """Chosen level per query and hit. Hits are a query's top list, so a group is bounded by its k."""
     return choices(hits).groupBy("query").applyInPandas(lambda rows: knapsack(rows.reset_index(drop=True), budget), "query string, uri string, level string, cost bigint")
+
+
+def greedy(rows: pd.DataFrame, budget: int, penalty: float = 0.5, least: float = 0.05, upgrade: float = 0.7, l1_cost: int = 2000) -> pd.DataFrame:
+    """Hits of one query (query, uri, relevance, cost) by relevance a token, ties by uri.
+
+    A hit's value falls with the share of those taken that have its first four address segments. One of ``upgrade`` or more takes level
+    L1 at ``l1_cost`` if that is left; what does not fit is passed over, and at a value under ``least`` it ends.
+    """
+    r = rows.assign(cost=rows["cost"].clip(lower=1)).assign(ratio=lambda t: -t["relevance"] / t["cost"]).sort_values(["ratio", "uri"])
+    out, homes, left = [], [], budget
+    for query, uri, relevance, cost in zip(r["query"], r["uri"], r["relevance"], r["cost"]):
+        home = uri.split("/")[:4]
+        value = relevance * (1 - penalty * (sum(h == home for h in homes) / len(homes) if homes else 0.0))
+        if not left or value < least:
+            break
+        level, price = ("L1", l1_cost) if value >= upgrade and left >= l1_cost else ("L0", int(cost))
+        if price <= left:
+            out.append((query, uri, level, price))
+            homes.append(home)
+            left -= price
+    return pd.DataFrame(out, columns=["query", "uri", "level", "cost"])
+
+
+def spread_budget(hits: DataFrame, budget: int) -> DataFrame:
+    """Chosen hits per query, spread over addresses. Hits (query, uri, relevance, l0) are a query's top list, so a group is bounded by its k."""
+    h = hits.select("query", "uri", "relevance", F.ceil(F.length("l0") / 4).cast("bigint").alias("cost"))
+    return h.groupBy("query").applyInPandas(lambda rows: greedy(rows, budget), "query string, uri string, level string, cost bigint")

@@ -43,27 +43,43 @@ def within_budget(df: DataFrame, key: str, at: Column, order: list[Column], cost
     return running(df, [key], at, order, cost, "spent").withColumn("granted", F.col("spent") <= budget)
 
 
-def planes(n: int, dim: int) -> list[list[float]]:
-    """Directions by rule: a linear congruence mapped to [-1, 1)."""
-    out, x = [], 12_345
-    for _ in range(n):
-        row = []
-        for _ in range(dim):
-            x = (1_103_515_245 * x + 12_345) % (1 << 31)
-            row.append(x / (1 << 30) - 1)
-        out.append(row)
-    return out
+def planes(bits: int, dim: int, table: int = 0) -> list[list[float]]:
+    """Directions of one hash table by rule: every number is the splitmix64 finish of a mix of table, bit and place, mapped to [-1, 1]."""
+    # fixed values: the constants of splitmix64
+    golden, one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        z = np.uint64(table) * golden + np.arange(bits, dtype=np.uint64)[:, None] * one + np.arange(dim, dtype=np.uint64)[None, :] * two
+        for shift, factor in ((30, one), (27, two)):
+            z = (z ^ (z >> np.uint64(shift))) * factor
+    z ^= z >> np.uint64(31)
+    unit = (z.astype(np.float64) / 2.0**64).astype(np.float32).astype(np.float64)
+    return (2 * unit - 1).tolist()
+
 
 
 def signature(v: Column, bits: int, dim: int, table: int = 0) -> Column:
     """Bits of the signs of ``bits`` projections."""
-    mine = planes(bits * (table + 1), dim)[bits * table :]
     out = F.lit(0)
-    for i, p in enumerate(mine):
+    for i, p in enumerate(planes(bits, dim, table)):
         out = out + F.when(V.dot(v, V.literal(p)) >= 0, 1 << i).otherwise(0)
     return out
 
 
+def lsh_index(df: DataFrame, key: str, vec: str, tables: int, bits: int, dim: int) -> DataFrame:
+    """Where each vector lies in every hash table: t, bucket, key. Vectors of another length are left out."""
+    good = df.filter(F.col(key).isNotNull() & (F.size(vec) == dim))
+    return good.select(key, F.posexplode(F.array(*[signature(F.col(vec), bits, dim, t) for t in range(tables)])).alias("t", "bucket")).distinct()
+
+
+def lsh_query(index: DataFrame, asked: DataFrame, q: str, vec: str, key: str, tables: int, bits: int, dim: int) -> DataFrame:
+    """Candidates of each query (q, key): what shares a bucket with it in some table."""
+    return lsh_index(asked, q, vec, tables, bits, dim).join(index, ["t", "bucket"]).select(q, key).distinct()
+
+
+def lsh_remove(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return index.join(gone.select(key), key, "left_anti")
+
+
 def similar_vectors(df: DataFrame, key: str, vec: str, least: float, centers: int = 64, rows: int = 8_192) -> DataFrame:
     """All pairs (a < b) of a cosine of ``least`` or more: a, b, similarity. No pair is lost.
 

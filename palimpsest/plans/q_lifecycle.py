@@ -220,6 +220,13 @@ def bd_knapsack(s, d):
 
 
 query.queries["bd_alloc"] = bd_knapsack
+
+
+@query()
+def bd_greedy(s, d):
+    return B.spread_budget(_hits(s, d), 3000)
+
+
 _e("bd_bandit", lambda: {"level": F.when(F.col("mvcc_version") % 3 == 0, "L2").when(F.col("mvcc_version") % 3 == 1, "L0").otherwise("L1")}, "CASE WHEN mvcc_version % 3 = 0 THEN 'L2' WHEN mvcc_version % 3 = 1 THEN 'L0' ELSE 'L1' END AS level")
 
 

@@ -57,7 +57,11 @@ def f_lsh(s, d):
 
 @query()
 def f_lsh_idx(s, d):
-    return _vec(s, d).select("uri", D.signature(F.col("embedding"), 8, 64).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.min("uri").alias("first"))
+    """Candidates of the rows whose id is divisible by 50 in an index of four tables, out of which those divisible by 3 were taken."""
+    v = table(s, d, "embeddings")
+    index = D.lsh_remove(D.lsh_index(v, "vec_id", "embedding", 4, 8, 64), v.filter("vec_id % 3 = 0"), "vec_id")
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    return D.lsh_query(index, asked, "q", "embedding", "vec_id", 4, 8, 64)
 
 
 _SIM = "v AS (SELECT id, min(e) AS e FROM (SELECT id, pattern_signature::DOUBLE[] AS e FROM antibodies) WHERE id IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY id), l AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id < b.id)"

@@ -178,3 +178,36 @@ def test_code_book(spark):
         for s, part in enumerate((x[:3], x[3:])):
             d = [np.linalg.norm(part - words[s, c]) for c in range(4)]
             assert got[i][s] == int(np.argmin(d)) and min(d) < 1
+
+
+def test_hash_tables(spark):
+    from palimpsest.operators.folds import lsh_index, lsh_query, lsh_remove, planes
+
+    def number(table, bit, place, full=(1 << 64) - 1):
+        z = (table * 0x9E3779B97F4A7C15 + bit * 0xBF58476D1CE4E5B9 + place * 0x94D049BB133111EB) & full
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & full
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & full
+        return float(np.float32((z ^ z >> 31) / full)) * 2 - 1
+
+    assert np.allclose(planes(5, 7, 3), [[number(3, b, p) for p in range(7)] for b in range(5)], atol=1e-6)
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(f"k{i}", r.normal(size=4).tolist()) for i in range(50)] + [("same", [1.0, 2.0, 3.0, 4.0]), ("short", [1.0]), ("none", None)], "k string, v array<double>")
+    index = lsh_index(df, "k", "v", 3, 6, 4)
+    asked = spark.createDataFrame([("q", [2.0, 4.0, 6.0, 8.0]), ("bad", [1.0])], "q string, v array<double>")
+    near = {tuple(x) for x in lsh_query(index, asked, "q", "v", "k", 3, 6, 4).collect()}
+    assert ("q", "same") in near and {x[0] for x in near} == {"q"} and len(near) < 51
+    rest = {tuple(x) for x in lsh_query(lsh_remove(index, df.filter("k = 'same'"), "k"), asked, "q", "v", "k", 3, 6, 4).collect()}
+    assert rest == near - {("q", "same")}
+
+
+def test_greedy_budget():
+    import pandas as pd
+
+    from palimpsest.operators.budget import greedy
+
+    rows = pd.DataFrame({"query": "q", "uri": ["uwu://t/a/1", "uwu://t/a/2", "uwu://u/a/3", "uwu://v/a/4", "uwu://w/a/5"], "relevance": [0.9, 0.8, 0.5, 0.4, 0.04], "cost": [10, 10, 20, 500, 0]})
+    # the third best by ratio is of too small a value, so it ends there
+    assert greedy(rows, 100)["uri"].tolist() == ["uwu://t/a/1", "uwu://t/a/2"]
+    got = greedy(rows.iloc[:4], 100)[["uri", "level", "cost"]].values.tolist()
+    assert got == [["uwu://t/a/1", "L0", 10], ["uwu://t/a/2", "L0", 10], ["uwu://u/a/3", "L0", 20]]
+    assert greedy(rows.iloc[:1], 2000)[["level", "cost"]].values.tolist() == [["L1", 2000]] and greedy(rows.iloc[:0], 5).empty
