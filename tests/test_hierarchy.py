@@ -41,7 +41,7 @@ def links_of(n, seed):
     return links + links[:5] + [("x", None, 0), (None, "y", 0), ("self", "self", 0)]
 
 
-@pytest.mark.parametrize("block", [1_000_000, 20, 3])
+@pytest.mark.parametrize("block", [1_000_000, 3])
 def test_circles(spark, block):
     links = links_of(120, 3)
     got = {r["node"] for r in circles(frame(spark, links), "child", "parent", "seen", block).collect()}
@@ -54,7 +54,7 @@ def test_spread_components(spark):
     assert {r["node"] for r in _spread(arcs).collect()} == brute_circles(links)
 
 
-@pytest.mark.parametrize("block", [1_000_000, 15, 2])
+@pytest.mark.parametrize("block", [1_000_000, 2])
 def test_paths(spark, block):
     links = [x for x in links_of(100, 4) if x[2] == 0] + [("c1", "c2", 0), ("c2", "c1", 0), ("d", "c1", 0)]
     h = {r["node"]: r for r in hierarchy(frame(spark, links), "child", "parent", "ordinal", "seen", block).collect()}

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from oracle import compare, connect
 
 D = "/root/testdata/sf0.001"
-QUICK = ["scan_type", "fs_ls", "fs_tree", "p_valid_at", "acl_check", "intersect", "first", "f_terms", "f_kv", "a_tally", "a_psi", "w_prune", "bt_bitemporal", "g_traverse", "v_snapshot", "v_merge", "wr_dedup", "bd_value", "mk_fitness", "st_stream", "st_sessions", "p3_found", "p5_found", "p7_found"]
+QUICK = ["scan_type", "fs_ls", "fs_tree", "p_valid_at", "acl_check", "intersect", "f_terms", "f_kv", "a_tally", "a_psi", "w_prune", "bt_bitemporal", "g_traverse", "v_snapshot", "v_merge", "wr_dedup", "bd_value", "mk_fitness", "st_stream", "st_sessions", "p3_found", "p5_found", "p6_state", "p7_found", "f_redact", "a_drift", "mk_conflict", "h_guard", "b_conflicts", "v_tdiff", "f_pq_encode", "lc_restore", "px_rollup"]
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
