@@ -102,10 +102,19 @@ def g_pagerank_inc(s, d):
     """Warm start from the ranks without the merge edges."""
     e = edges(s, d)
     old = G.pagerank(e.filter("kind = 'derived_from'"), 32)
-    return G.pagerank(e, 32, start=old)
+    r = G.pagerank(e, 32, start=old)
+    return r.select("node", F.round(F.col("rank") * r.count(), 5).alias("rank"))
 
 
-query()(g_pagerank_inc)
+_WARM = (
+    "da AS (SELECT DISTINCT f, t FROM ex WHERE kind = 'derived_from'), do_ AS (SELECT f, count(*) AS c FROM da GROUP BY f), dn AS (SELECT f AS x FROM da UNION SELECT t FROM da), dk AS (SELECT count(*) AS n FROM dn), d0 AS MATERIALIZED (SELECT x, 1.0e0 / (SELECT n FROM dk) AS r, c FROM dn LEFT JOIN do_ ON do_.f = dn.x), "
+    + ", ".join(f"d{i + 1} AS MATERIALIZED (SELECT p.x, (0.15e0 + 0.85e0 * coalesce((SELECT sum(r) FROM d{i} WHERE c IS NULL), 0)) / (SELECT n FROM dk) + 0.85e0 * coalesce(g.s, 0) AS r, p.c FROM d{i} p LEFT JOIN (SELECT da.t, sum(q.r / q.c) AS s FROM da JOIN d{i} q ON q.x = da.f GROUP BY da.t) g ON g.t = p.x)" for i in range(32))
+)
+_COLD = "SELECT x, 1.0e0 / (SELECT n FROM k) AS r, c FROM n LEFT JOIN o ON o.f = n.x"
+query(
+    "+ " + _rank_sql(32).removeprefix(f"{EX}, ").replace(_COLD, "SELECT n.x, coalesce(d32.r, 1.0e0 / (SELECT n FROM k)) AS r, o.c FROM n LEFT JOIN o ON o.f = n.x LEFT JOIN d32 ON d32.x = n.x") + " SELECT x AS node, round(r * (SELECT n FROM k), 5) AS rank FROM r32",
+    f"{EX}, {_WARM}",
+)(g_pagerank_inc)
 
 
 @query(f"WITH {_rank_sql(32)}, g AS (SELECT node, sum(c) AS deg FROM (SELECT f AS node, count(*) AS c FROM ex GROUP BY f UNION ALL SELECT t, count(*) FROM ex GROUP BY t) GROUP BY node) SELECT x AS node, round(0.72 * r * (SELECT n FROM k) + 0.28 * least(deg / 12, 1.0), 5) AS score FROM r32 JOIN g ON g.node = x")

@@ -50,12 +50,22 @@ def _vec(s, d):
     return table(s, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("uri"), "embedding")
 
 
-@query()
+_TURN = "(xor({z}, {z} // {cut}) * {by}) % 18446744073709551616"
+# directions out of unsigned 128-bit numbers, each step modulo 2^64
+_PLANES = (
+    "g AS (SELECT t, b, p, (t::UHUGEINT * 11400714819323198485 + b::UHUGEINT * 13787848793156543929 % 18446744073709551616 + p::UHUGEINT * 10723151780598845931 % 18446744073709551616) % 18446744073709551616 AS z FROM range({tables}) x(t), range({bits}) y(b), range(64) u(p)),"
+    f" h AS (SELECT t, b, p, {_TURN.format(z='z', cut=1 << 30, by=13787848793156543929)} AS z FROM g), i AS (SELECT t, b, p, {_TURN.format(z='z', cut=1 << 27, by=10723151780598845931)} AS z FROM h),"
+    " w AS (SELECT t, b, list(2 * (xor(z, z // 2147483648)::DOUBLE / 18446744073709551616)::FLOAT::DOUBLE - 1 ORDER BY p) AS w FROM i GROUP BY t, b),"
+    " k AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], w) >= 0 THEN 1 << b ELSE 0 END)::INT AS bits FROM embeddings, w GROUP BY vec_id, t)"
+)
+
+
+@query("SELECT 'v' || vec_id AS uri, bits FROM k", _PLANES.format(tables=1, bits=16))
 def f_lsh(s, d):
     return _vec(s, d).select("uri", D.signature(F.col("embedding"), 16, 64).alias("bits"))
 
 
-@query()
+@query("SELECT DISTINCT q.vec_id AS q, k.vec_id FROM k q JOIN k ON k.t = q.t AND k.bits = q.bits WHERE q.vec_id % 50 = 0 AND k.vec_id % 3 <> 0", _PLANES.format(tables=4, bits=8))
 def f_lsh_idx(s, d):
     """Candidates of the rows whose id is divisible by 50 in an index of four tables, out of which those divisible by 3 were taken."""
     v = table(s, d, "embeddings")
